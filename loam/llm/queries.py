@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, sharding
 
 
 def queries() -> dict:
     """Name to (spark, sf_dir) -> DataFrame, one for each operator, and the pipeline."""
-    found = {"op1_sharding": sharding.op1_sharding, "op7_mixing": mixing.op7_mixing}
-    return found
+    return {
+        "op1_sharding": sharding.op1_sharding,
+        "op6_packing": packing.op6_packing,
+        "op7_mixing": mixing.op7_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
