@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,48 @@ def ranked(df: DataFrame, group: str, order: list[Column], name: str = "rank") -
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumnRenamed("_pid", "_p")
     joined = numbered.join(parts, (numbered["_pid"] == parts["_p"]) & g.eqNullSafe(parts["_g"]))
     return joined.withColumn(name, F.col("_before") + mid - F.col("_first")).drop("_mid", "_pid", "_p", "_g", "_first", "_n", "_before")
+
+
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that links (a[i], b[i]) lead to."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(label, jumped := label[label]):
+            label = jumped
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
+
+
+def connected_components(edges: DataFrame, seed: int = 1) -> DataFrame:
+    """(id, component) of all ends of edges (a, b): component is the smallest id that links lead to.
+
+    Randomised contraction: in every round each node joins the neighbour (or itself) of least hash under a new seed, and
+    edges move to the nodes joined; that leaves about half of them whatever the shape of the graph. Rounds are written,
+    so lost executors cost no more than a round. Loops and repeated edges do no harm; no edges give no rows.
+    """
+    e = edges.where(F.col("a") != F.col("b")).select("a", "b")
+    e = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    maps: list[DataFrame] = []
+    while not e.isEmpty():
+        salt = F.lit(seed + len(maps))
+        best = F.min(F.struct(F.xxhash64("b", salt).alias("h"), F.col("b").alias("v")))
+        joined = e.groupBy(F.col("a").alias("id")).agg(best.alias("m"))
+        own = F.struct(F.xxhash64("id", salt).alias("h"), F.col("id").alias("v"))
+        m = written(joined.select("id", F.least("m", own)["v"].alias("r")))
+        maps.append(m)
+        to_a, to_b = (m.select(F.col("id").alias(c), F.col("r").alias(f"r{c}")) for c in "ab")
+        moved = e.join(to_a, "a").join(to_b, "b")
+        e = written(moved.where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    if not maps:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
+    found = maps[0]
+    for m in maps[1:]:
+        step = m.select(F.col("id").alias("r"), F.col("r").alias("_next"))
+        found = found.join(step, "r", "left").select("id", F.coalesce("_next", "r").alias("r"))
+    found = written(found)
+    least = found.groupBy("r").agg(F.min(F.least("id", "r")).alias("component"))
+    return found.join(least, "r").select("id", "component")
