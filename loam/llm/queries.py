@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, packing, sharding
+from . import embedding_dedup, mixing, packing, sharding, simhash_dedup
 
 
 def queries() -> dict:
     """Name to (spark, sf_dir) -> DataFrame, one for each operator, and the pipeline."""
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_packing": packing.op6_packing,
         "op7_mixing": mixing.op7_mixing,
