@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, packing, sharding, simhash_dedup, suffix_dedup
+from . import embedding_dedup, fingerprints, mixing, packing, sharding, simhash_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_packing": packing.op6_packing,
         "op7_mixing": mixing.op7_mixing,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+        "op9_fingerprints": fingerprints.op9_fingerprints,
     }
 
 
