@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, mixing, packing, sharding, simhash_dedup, suffix_dedup
+from . import embedding_dedup, fingerprints, licenses, mixing, packing, sharding, simhash_dedup, suffix_dedup, url_filters
 
 
 def queries() -> dict:
@@ -10,14 +10,16 @@ def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+        "op3_url_filters": url_filters.op3_url_filters,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_packing": packing.op6_packing,
         "op7_mixing": mixing.op7_mixing,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_fingerprints": fingerprints.op9_fingerprints,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those queries that SQL can express."""
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op3_url_filters": url_filters.OP3_SQL, "op7_mixing": mixing.OP7_SQL, "op10_licenses": licenses.OP10_SQL}
