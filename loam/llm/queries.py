@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, licenses, mixing, packing, sharding, simhash_dedup, suffix_dedup, url_filters
+from . import embedding_dedup, fingerprints, licenses, mixing, packing, quality, sharding, simhash_dedup, suffix_dedup, url_filters
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
         "op3_url_filters": url_filters.op3_url_filters,
+        "op4_quality": quality.op4_quality,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_packing": packing.op6_packing,
         "op7_mixing": mixing.op7_mixing,
