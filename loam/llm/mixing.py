@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.withColumn("_l", level).select("source", "source_size", "n_docs", F.least("_cap", F.col("_l") * F.col("_w")).alias("target"))
 
 
-def systematic_mix(docs: DataFrame, seed: str = SEED, **rules) -> DataFrame:
+def systematic_mix(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = (), **rules) -> DataFrame:
     """docs (doc_id, source, size) with source_size, target and copies: how often the mix takes each document.
 
     A document's expected copies are target / source_size, the same throughout a source. In order of (size, doc_id) the
@@ -46,9 +46,9 @@ def systematic_mix(docs: DataFrame, seed: str = SEED, **rules) -> DataFrame:
     Documents of more than 1 / CERTAIN of the target would be too coarse for that: each is taken its expected copies,
     rounded, and the others of its source make up the difference (where they can't, none is treated so).
     A source without words has target 0 and no copies; null sources are a source; rows repeated in docs are taken on
-    their own; an empty table gives an empty one. Only counts a range and a source meet in one task.
+    their own; an empty table gives an empty one. Columns named in `keep` are carried along. Only counts a range and a source meet in one task.
     """
-    narrow = written(docs.select("doc_id", "source", "size"))
+    narrow = written(docs.select("doc_id", "source", "size", *keep))
     targets = source_targets(narrow.select("source", "size"), **rules).withColumnRenamed("source", "_s")
     targets = targets.withColumn("_e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.concat(F.lit("s"), F.col("_s")), F.lit("null")))
@@ -64,12 +64,12 @@ def systematic_mix(docs: DataFrame, seed: str = SEED, **rules) -> DataFrame:
     out = at.join(targets, at["source"].eqNullSafe(targets["_s"]))
     crossed = F.floor((F.col("_at") + 1) * F.col("_x") + F.col("_u")) - F.floor(F.col("_at") * F.col("_x") + F.col("_u"))
     copies = F.when(F.col("_can") & large, F.col("_fixed")).otherwise(crossed)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *keep)
 
 
-def with_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of runs of bytes that aren't white space (null text: 0)."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def with_sizes(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, the columns `keep`, and size: the number of runs of bytes that aren't white space (null text: 0)."""
+    return docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs, each row as often as the mix takes it."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    mix = systematic_mix(with_sizes(rows, "_row"), keep=("_row",)).where("copies > 0").select("_row", "copies")
+    taken = rows.join(mix, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return taken.select(*docs.columns)
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents

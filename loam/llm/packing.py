@@ -141,3 +141,8 @@ def harmonic_pack(docs: DataFrame, *, path: str | None = None, capacity: int = C
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids."""
     return harmonic_pack(table(spark, sf_dir, "documents"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of docs in sequences of at most 2048 ids."""
+    return harmonic_pack(docs)

@@ -159,9 +159,9 @@ def removed_passages(docs: DataFrame, kept: bool = False, chunk_bytes: int = CHU
     """
     rows = docs.select(F.col("row").cast("long"), F.coalesce(F.col("doc").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    narrow = written(rows.select("row", "doc", "h", F.md5("text").alias("m"), F.octet_length("text").cast("long").alias("n"), F.when(F.octet_length("text") < DEPTH, F.sha2("text", 256)).alias("sha")))
+    narrow = written(rows.select("row", "doc", "h", F.md5("text").alias("m"), F.octet_length("text").cast("long").alias("n"), F.when(F.octet_length("text") < DEPTH, F.col("text")).alias("short")))
     least = narrow.groupBy("m", "n").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    copies = written(narrow.join(least, ["m", "n"]).where("doc > least").select("row", "doc", "h", "n", "sha"))
+    copies = written(narrow.join(least, ["m", "n"]).where("doc > least").select("row", "doc", "h", "n", "short"))
     total = narrow.agg(F.sum("n")).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     buckets = max(1, -(-chunks // 2))
@@ -305,10 +305,9 @@ def removed_passages(docs: DataFrame, kept: bool = False, chunk_bytes: int = CHU
     schema = "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
     mine = base.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(cut, schema)
     all_gone = F.col("n") >= DEPTH
-    whole = copies.select("row", F.col("n").alias("n_bytes"), F.when(all_gone, F.col("n")).otherwise(0).cast("long").alias("n_removed"), all_gone.cast("long").alias("n_spans"), F.coalesce("sha", F.lit(hashlib.sha256().hexdigest())).alias("kept_sha256"))
-    if not kept:
-        return mine.unionByName(whole)
-    return mine.unionByName(whole.withColumn("kept", F.lit(None).cast("binary")))
+    rest = F.encode(F.coalesce("short", F.lit("")), "utf-8")
+    whole = copies.select("row", F.col("n").alias("n_bytes"), F.when(all_gone, F.col("n")).otherwise(0).cast("long").alias("n_removed"), all_gone.cast("long").alias("n_spans"), F.sha2(rest, 256).alias("kept_sha256"), *[rest.alias("kept")] * kept)
+    return mine.unionByName(whole)
 
 
 def hashes_at(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -337,3 +336,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = removed_passages(docs.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("doc"), "text"))
     return found.withColumnRenamed("row", "doc_id")
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with repeated passages cut out of their texts; those of which nothing is left go. n_chars follows the text."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = removed_passages(rows.select(F.col("_row").alias("row"), F.col("doc_id").alias("doc"), "text"), kept=True)
+    some = found.where("n_removed = 0 OR octet_length(kept) > 0").select(F.col("row").alias("_row"), F.col("kept").cast("string").alias("_kept"))
+    rest = rows.withColumn("_null", F.col("text").isNull()).drop("text").join(some, "_row").withColumn("text", F.when(~F.col("_null"), F.col("_kept")))
+    if "n_chars" in docs.columns:
+        rest = rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rest.select(*docs.columns)
