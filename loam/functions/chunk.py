@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .noise import is_noise_line
 from .text import clean, clean_plain, strip
@@ -149,7 +150,7 @@ def merged(chunks: list[str], target: int = 240, most: int = 2200) -> list[str]:
 
 
 def _over_texts(f):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: f("" if x is None else x))
 
@@ -157,7 +158,7 @@ def _over_texts(f):
 
 
 def _over_lists(f):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: f([] if x is None else list(x)))
 

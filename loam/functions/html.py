@@ -9,6 +9,7 @@ from urllib.parse import unquote, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DROPPED = {"aside", "script", "style", "footer", "header", "nav", "iframe", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -80,7 +81,8 @@ class Page(HTMLParser):
                 parts.append(piece)
 
 
-PAGE = "text string, best string, headings array<string>, links array<struct<href:string,title:string,text:string>>"
+LINK = T.StructType([T.StructField(n, T.StringType()) for n in ("href", "title", "text")])
+PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("best", T.StringType()), T.StructField("headings", T.ArrayType(T.StringType())), T.StructField("links", T.ArrayType(LINK))])
 
 
 @F.pandas_udf(PAGE)
@@ -96,14 +98,14 @@ def parsed(html: pd.Series) -> pd.DataFrame:
 def absolute(base: Column, href: Column) -> Column:
     """href against the page's own address."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def join(b: pd.Series, h: pd.Series) -> pd.Series:
         return pd.Series([None if y is None else urljoin(x or "", y) for x, y in zip(b, h)])
 
     return join(base, href)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unquoted(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unquote(x))
 

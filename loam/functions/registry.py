@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .vector import fake_embedder, passage_input, query_input
 
@@ -41,7 +42,7 @@ def _shared_words(q: pd.Series, t: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(q, t)], dtype="float64")
 
 
-SCORERS["overlap"] = lambda: F.pandas_udf(_shared_words, "double")
+SCORERS["overlap"] = lambda: F.pandas_udf(_shared_words, T.DoubleType())
 
 
 def _first_sentences(c: Column) -> Column:

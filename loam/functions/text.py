@@ -8,12 +8,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Invisible and odd blanks that count as a blank.
-BLANKS = "  ᠎           ​‌‍  ⁠　﻿"
+BLANKS = "".join(map(chr, [0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -30,7 +31,7 @@ def _matches(wanted: str, other: str) -> float:
     return max(difflib.SequenceMatcher(None, short, long[k : k + len(short)]).ratio() for k in starts)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 to 1: how well the shorter of two texts fits somewhere in the longer."""
     return pd.Series([None if x is None or y is None else _matches(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -53,7 +54,7 @@ def clean(c: Column, normal_form: bool = True) -> Column:
 
 def clean_plain(c: Column) -> Column:
     """The older form: only the zero-width blank and the byte-order mark, no NFKC."""
-    return squashed(F.translate(F.coalesce(c, F.lit("")), "​﻿", "  "))
+    return squashed(F.translate(F.coalesce(c, F.lit("")), "\u200b\ufeff", "  "))
 
 
 def search_key(c: Column, normal_form: bool = True) -> Column:
@@ -63,8 +64,8 @@ def search_key(c: Column, normal_form: bool = True) -> Column:
 
 def strip_invisible(c: Column) -> Column:
     """Zero-width signs out, blanks and tabs to one blank, at most one empty line in a row."""
-    c = F.regexp_replace(c, "[​-‍﻿]", "")
-    c = F.regexp_replace(c, "[ \t ]+", " ")
+    c = F.regexp_replace(c, "[\u200b-\u200d\ufeff]", "")
+    c = F.regexp_replace(c, "[ \t\u00a0]+", " ")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -69,7 +70,7 @@ def fake_vector(text: str, dim: int = 384) -> list[float]:
 def fake_embedder(dim: int = 384):
     """A function of a column that embeds by hash: the same text always gets the same unit vector."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: fake_vector("" if x is None else x, dim))
 
