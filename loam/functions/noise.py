@@ -27,28 +27,41 @@ FAMILIES = {
     "domain": r"(?iU)[\w\-]+(?:\.[\w\-]+)+(?:/|\b)",
     "phone": r"\b0\d{1,2}-?\d{3,4}-?\d{4}\b",
 }
-GAMES = r"(?U)(?:CBT|OBT|대규모\s*업데이트|런칭|론칭|사전\s*등록|출시)\b|(?:그라비티|넥슨|넷마블|스마일게이트|엔씨소프트|카카오게임즈|펄어비스)\b|던전앤파이터|라그나로크|로스트아크|리니지|메이플스토리"
+GAMES = r"(?:CBT|OBT)\b"
+GAMES_KOREAN = r"(?U)(?:대규모\s*업데이트|런칭|론칭|사전\s*등록|출시)\b|(?:그라비티|넥슨|넷마블|스마일게이트|엔씨소프트|카카오게임즈|펄어비스)\b|던전앤파이터|라그나로크|로스트아크|리니지|메이플스토리"
 #: Names of sections and of sides of a work, which no character bears.
 SECTION_NAMES = ("개요", "명대사", "방영", "설정", "세계관", "에피소드", "음악", "줄거리", "평가")
 
 
+#: Families all of whose patterns hold a Korean or Chinese sign: texts without one are spared them.
+KOREAN = {"wiki", "stream", "press", "moments", "politics", "brand", "place"}
+
+
+def has_korean(c: Column) -> Column:
+    return c.rlike("[가-힣日韓中]")
+
+
 def shop_words(c: Column) -> Column:
     low = F.lower(c)
     hits = sum((F.contains(low, F.lit(w.lower())).cast("int") for w in SHOP_WORDS), F.lit(0))
-    return (hits >= 2) | (F.contains(c, F.lit("출장")) & (F.contains(c, F.lit("무료")) | F.contains(c, F.lit("0원"))))
+    travel = F.contains(c, F.lit("출장")) & (F.contains(c, F.lit("무료")) | F.contains(c, F.lit("0원")))
+    return (has_korean(c) | F.contains(low, F.lit("a/s"))) & ((hits >= 2) | travel)
 
 
 def _any(c: Column, names: list[str]) -> Column:
-    out = F.lit(False)
+    out, korean = F.lit(False), F.lit(False)
     for n in names:
-        out = out | c.rlike(FAMILIES[n])
-    return out
+        if n in KOREAN:
+            korean = korean | c.rlike(FAMILIES[n])
+        else:
+            out = out | c.rlike(FAMILIES[n])
+    return out | (has_korean(c) & korean)
 
 
 def is_noise_line(c: Column, share: float = 0.82) -> Column:
     """Whether a line is noise; null and lines of under two signs are."""
     t = strip(c)
-    return F.coalesce((F.length(t) < 2) | _any(t, list(FAMILIES)) | t.rlike(GAMES) | shop_words(t) | (latin_share(t) > share), F.lit(True))
+    return F.coalesce((F.length(t) < 2) | (latin_share(t) > share) | _any(t, list(FAMILIES)) | is_game_notice(t) | shop_words(t), F.lit(True))
 
 
 def is_noise_line_old(c: Column) -> Column:
@@ -56,8 +69,8 @@ def is_noise_line_old(c: Column) -> Column:
     t = strip(c)
     anchored = F.lit(False)
     for n in ("legal", "captcha", "wiki", "site", "stream", "press", "moments", "politics"):
-        flags = "(?iU)"
-        anchored = anchored | t.rlike(flags + "^(?:" + FAMILIES[n].removeprefix("(?i)").removeprefix("(?U)").replace("^", "") + ")")
+        hit = t.rlike("(?iU)^(?:" + FAMILIES[n].removeprefix("(?i)").removeprefix("(?U)").replace("^", "") + ")")
+        anchored = anchored | (has_korean(t) & hit if n in KOREAN else hit)
     return F.coalesce((F.length(t) < 2) | anchored | _any(t, ["url", "domain", "phone"]) | shop_words(t), F.lit(True))
 
 
@@ -72,7 +85,7 @@ def is_light_noise(c: Column) -> Column:
 
 
 def is_game_notice(c: Column) -> Column:
-    return c.rlike(GAMES)
+    return c.rlike(GAMES) | (has_korean(c) & c.rlike(GAMES_KOREAN))
 
 
 def is_low_quality(c: Column, domain: Column, wiki: str = "namu.wiki") -> Column:

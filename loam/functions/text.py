@@ -37,9 +37,18 @@ def fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _matches(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+#: White space of any kind.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def bound(c: Column, f) -> Column:
+    """f(c) with c worked out once, however often f uses it; Spark would put the whole expression in each place."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squashed(c: Column) -> Column:
@@ -98,10 +107,13 @@ LICENSE_SPANS = [
 
 def without_furniture(c: Column, short: int = 30, share: float = 0.6) -> Column:
     """c without page furniture; empty if at least `share` of its lines have `short` signs or fewer, as lists of links have."""
-    c = deleted(strip_invisible(c), FURNITURE)
-    lines = F.split(c, r"\r\n|\r|\n")
-    few = F.size(F.filter(lines, lambda x: F.length(strip(x)) <= short)) / F.size(lines)
-    return F.when((c != "") & (few >= share), "").otherwise(strip(c))
+
+    def judged(t: Column) -> Column:
+        lines = F.split(t, r"\r\n|\r|\n")
+        few = F.size(F.filter(lines, lambda x: F.length(strip(x)) <= short)) / F.size(lines)
+        return F.when((t != "") & (few >= share), "").otherwise(strip(t))
+
+    return bound(deleted(strip_invisible(c), FURNITURE), judged)
 
 
 def without_headlines(c: Column) -> Column:
