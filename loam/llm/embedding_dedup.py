@@ -65,7 +65,7 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     """One row per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors are compared if labels are equal and not null and lengths agree; null or zero vectors and such as hold null,
-    NaN or infinite components link with nothing and stay by themselves. Equal vectors are one class first: a class of
+    NaN or infinite components link with nothing and stay by themselves, as do rows of a null vec_id. Equal vectors are one class first: a class of
     copies, however large, is one row of the tiles. Classes of a label go to blocks of about `block` rows by hash, and
     every pair of blocks is a task, so a hot label is split. A task sends back one row per class with the number of its
     links and the smallest class its links lead to, never pairs. Rows that repeat a vec_id are vectors of their own,
@@ -73,7 +73,7 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     """
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    good = F.col("label").isNotNull() & x.isNotNull() & ~bad & F.exists(x, lambda v: v != 0)
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & ~bad & F.exists(x, lambda v: v != 0)
     rows = vectors.select("vec_id", "label", F.when(F.coalesce(good, F.lit(False)), F.col("embedding")).alias("v"))
     alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     rows = rows.where("v IS NOT NULL")

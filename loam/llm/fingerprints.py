@@ -176,9 +176,11 @@ def with_neighbours(docs: DataFrame, parts: int) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("key"))
     ids = docs.select(F.col("key").cast("double").alias("at"))
     found = ids.approxQuantile("at", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    splits = [-float("inf"), *sorted(set(found)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="at", outputCol="p")
-    place = cut.transform(docs.withColumn("at", F.col("key").cast("double"))).withColumn("part", F.col("p").cast("int")).drop("at", "p")
+    if found:
+        cut = Bucketizer(splits=[-float("inf"), *sorted(set(found)), float("inf")], inputCol="at", outputCol="p")
+        place = cut.transform(docs.withColumn("at", F.col("key").cast("double"))).withColumn("part", F.col("p").cast("int")).drop("at", "p")
+    else:
+        place = docs.withColumn("part", F.lit(0))
     least = sorted((r["part"], r["k"]) for r in place.groupBy("part").agg(F.min("key").alias("k")).collect())
     heads = [(k, least[i - 1][0]) for i, (_, k) in enumerate(least)]
     heads = docs.sparkSession.createDataFrame(heads, "key long, part int")

@@ -81,8 +81,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs, each row as often as the mix takes it."""
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    mix = systematic_mix(with_sizes(rows, "_row"), keep=("_row",)).where("copies > 0").select("_row", "copies")
-    taken = rows.join(mix, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    mix = systematic_mix(with_sizes(rows, "_row"), keep=("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    taken = rows.join(mix, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
     return taken.select(*docs.columns)
 
 

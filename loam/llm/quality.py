@@ -18,7 +18,8 @@ from ._shared import table, written
 HASHED, BINS, FACTORS = 1 << 15, 10, 8
 #: Labelled rows that a model is fitted on at most, those of least md5 of the id: what the driver holds is bounded by it.
 SAMPLE = 6000
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.05, 1e-5
+#: Passes over the sample, and batches at least, which make more passes of a small one.
+EPOCHS, UPDATES, BATCH, RATE, DECAY = 12, 600, 64, 0.05, 1e-5
 STATISTICS = 14
 
 _lower, _upper, _digit, _space = (np.zeros(256, bool) for _ in range(4))
@@ -65,6 +66,8 @@ class Model:
         self.v = rng.normal(0, 0.01, (size, FACTORS)).astype(np.float32)
         if len(set(labels.tolist())) == 2:
             self._fit([self._join(*r) for r in rows], labels.astype(np.float64), rng)
+        else:
+            self.v[:] = 0
 
     def _join(self, at: np.ndarray, x: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bins = (self.edges <= stats[:, None]).sum(axis=1) + np.arange(STATISTICS) * BINS + HASHED
@@ -73,9 +76,10 @@ class Model:
     def _fit(self, rows: list, labels: np.ndarray, rng: np.random.Generator) -> None:
         self.bias = float(np.log(labels.mean() / (1 - labels.mean())))
         gw, gv, gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-UPDATES * BATCH // len(rows)))
+        for epoch in range(epochs):
             order = rng.permutation(len(rows))
-            rate = RATE / (1 + 0.3 * epoch)
+            rate = RATE / (1 + 3 * epoch / epochs)
             for k in range(0, len(order), BATCH):
                 some = order[k : k + BATCH]
                 cols = np.concatenate([rows[i][0] for i in some])

@@ -326,9 +326,9 @@ def whole_characters(text: bytes, gone: np.ndarray) -> bytes:
     """What is left of a text; of characters that only lose some of their bytes, none."""
     raw = np.frombuffer(text, np.uint8)
     lead = np.cumsum((raw & 0xC0) != 0x80) - 1
-    keep_any = np.zeros(int(lead[-1]) + 1, bool)
-    keep_any[lead[~gone]] = True
-    return raw[keep_any[lead]].tobytes()
+    whole = np.ones(int(lead[-1]) + 1, bool)
+    whole[lead[gone]] = False
+    return raw[whole[lead]].tobytes()
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
