@@ -27,7 +27,7 @@ def similarity(distance: Column, space: str = "cosine", alpha: float = 1.0, l2:
     """A score in [0, 1] from a distance (from the dot product for "ip"); null stays null, unknown spaces count as cosine."""
     d = distance.cast("double")
     if space == "l2":
-        s = F.exp(-alpha * d) if l2 == "exp" else 1 / (1 + alpha * d)
+        s = F.exp(-alpha * d) if l2 == "exp" else F.coalesce(F.try_divide(F.lit(1.0), 1 + alpha * d), F.lit(1.0))
     elif space == "ip":
         s = 1 / (1 + F.exp(-d))
     else:

@@ -20,7 +20,7 @@ def read(spark: SparkSession, path: str | list[str], schema: str = PAGE, mode: s
 
 def read_numbered(spark: SparkSession, path: str, schema: str = PAGE) -> DataFrame:
     """As read, with file and line number from 1. Files are read whole lines at a time; a file is one partition's."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     each = lines.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("trim(line) <> ''")
     row = F.from_json("line", schema, {"mode": "PERMISSIVE"})
     return each.where(F.try_parse_json("line").isNotNull()).select("file", (F.col("n") + 1).alias("line_no"), row.alias("r")).select("file", "line_no", "r.*")
@@ -49,7 +49,7 @@ def read_text(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """group, pos and title from a JSON object of lists, groups in order of name."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.explode(F.array_sort(F.map_entries(F.from_json("value", "map<string, array<string>>")))).alias("e")
     return text.select(entries).select(F.col("e.key").alias("group"), F.posexplode("e.value").alias("pos", "title"))
 
