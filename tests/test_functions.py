@@ -22,7 +22,7 @@ def test_ratios_and_hosts(spark):
     rows = [("abc 가나 https://x.y www.z",), ("",), ("가나다",)]
     got = one(spark, rows, "t string", text.latin_ratio(F.col("t")), text.latin_share(F.col("t")), text.url_ratio(F.col("t")))
     assert got[1] == (1.0, 0.0, 0.0) and got[2] == (0.0, 0.0, 0.0)
-    assert got[0] == pytest.approx((13 / 24, 13 / 15, 0.5))
+    assert got[0] == pytest.approx((14 / 24, 14 / 16, 0.5))
     urls = [("HTTPS://A.b:80/c?d#e",), (None,), ("/w/%EA%B0%80+x (1기)",)]
     got = one(spark, urls, "u string", text.domain_of(F.col("u")), text.href_target(F.col("u")), text.title_of_path(F.col("u")))
     assert got[0][:2] == ("a.b:80", "HTTPS://A.b:80/c") and got[1][0] == "" and got[2][2] == "가+x"
