@@ -186,7 +186,7 @@ def with_neighbours(docs: DataFrame, parts: int) -> DataFrame:
     heads = docs.sparkSession.createDataFrame(heads, "key long, part int")
     more = docs.join(F.broadcast(heads), "key").select("doc_id", "text", "key", "part", F.lit(True).alias("head"))
     both = place.withColumn("head", F.lit(False)).select("doc_id", "text", "key", "part", "head").unionByName(more)
-    return both.repartition(parts, "part").sortWithinPartitions("part", "head", "key", "text", "doc_id")
+    return both.repartitionById(parts, "part").sortWithinPartitions("part", "head", "key", "text", "doc_id")
 
 
 def fingerprinted(docs: DataFrame, parts: int | None = None) -> DataFrame:
