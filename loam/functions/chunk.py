@@ -13,6 +13,7 @@ from .noise import is_noise_line
 from .text import clean, clean_plain, strip
 
 SENTENCE = re.compile(r"((?:[.!?…]|[다요죠네]\.)[\"'」』)]*)\s+")
+PARAGRAPH = re.compile("\n\n+")
 CLAUSE = re.compile(r",|;| (?:그러나|하지만|그리고|또한) ")
 
 
@@ -42,7 +43,7 @@ def with_title(title: Column, section: Column, c: Column) -> Column:
 
 def korean_sentences(text: str, most: int = 900) -> list[str]:
     out = []
-    for block in re.split(r"\n{2,}", text):
+    for block in PARAGRAPH.split(text):
         for s in SENTENCE.sub("\\1\n", block.strip()).split("\n"):
             s = s.strip()
             parts = CLAUSE.split(s) if len(s) > most * 1.2 else [s]
@@ -137,7 +138,7 @@ def merged(chunks: list[str], target: int = 240, most: int = 2200) -> list[str]:
             out.append(c)
             continue
         have = ""
-        for part in re.split(r"(?<=[.!?。！？])\s+", c):
+        for part in re.split(r"(?<=[。！？!?.])\s+", c):
             if len(have) + len(part) + 1 > most:
                 if have:
                     out.append(have.strip())

@@ -22,10 +22,10 @@ FAMILIES = {
     "moments": r"(?U)\b\d+\s*(?:초|분|시간)\s*전\b",
     "politics": r"(?U)(?:검찰|고발|국정농단|기소|대선|대통령실|수사|선거\s*개입|지선|청와대|총선|탄핵|특검|특별검사)\b|국민의힘|김건희|명태균|민주당|윤석열|이재명|한동훈|건진법사",
     "brand": r"(?i)대덕구\s*컴퓨터|오마이\s*(?:pc|피[씨시])",
-    "place": r"(?U)/\s*(?:논란\s*및\s*사건\s*사고|보러\s*가기|이전\s*역사|작중\s*행적)\b",
+    "place": r"(?U)/\s*(?:이전\s*역사|작중\s*행적|보러\s*가기|논란\s*및\s*사건[·\s]*사고)\b",
     "url": r"(?i)(?:https?://|www\.)[\w.\-가-힣]+\.[a-z]{2,}",
     "domain": r"(?iU)[\w\-]+(?:\.[\w\-]+)+(?:/|\b)",
-    "phone": r"\b0\d{1,2}-?\d{3,4}-?\d{4}\b",
+    "phone": r"\b0[0-9]{1,2}-?[0-9]{3,4}-?[0-9]{4}\b",
 }
 GAMES = r"(?:CBT|OBT)\b"
 GAMES_KOREAN = r"(?U)(?:대규모\s*업데이트|런칭|론칭|사전\s*등록|출시)\b|(?:그라비티|넥슨|넷마블|스마일게이트|엔씨소프트|카카오게임즈|펄어비스)\b|던전앤파이터|라그나로크|로스트아크|리니지|메이플스토리"

@@ -75,7 +75,7 @@ def strip_invisible(c: Column) -> Column:
     """Zero-width signs out, blanks and tabs to one blank, at most one empty line in a row."""
     c = F.regexp_replace(c, "[\u200b-\u200d\ufeff]", "")
     c = F.regexp_replace(c, "[ \t\u00a0]+", " ")
-    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(c, "\n\n\n+", "\n\n"))
 
 
 def deleted(c: Column, patterns: list[str]) -> Column:
@@ -88,15 +88,15 @@ def deleted(c: Column, patterns: list[str]) -> Column:
 #: Page furniture by family: legal lines, site names, feeds, phones and domains, shop talk, leftovers.
 FURNITURE = [
     r"(?im)이 저작물은\s*CC.*?제외\)", r"(?im)namu\.wiki", r"(?im)powered by \S+ engine|impulsado por.*$", r"(?im)operado por .*$", r"(?im)hecho con .*$",
-    r"(?im)su zona horaria es\s*[\w/\-]+", r"(?im)(?:this site is protected by re|h)captcha.*", r"(?im)apply\.", r"(?im)^\s*[\w\-./()·]+\s*\d+[초분] 전\s*$",
-    r"\b\d{2,4}-\d{3,4}-\d{4}\b", r"(?im)\bwww\.[\w.\-]+\b", r"(?im)\b[\w\-]+\.(?:kr|com|net)\b", "견적문의|서비스요금|체인점찾기|게시대 위치|오프라인광고",
+    r"(?im)su zona horaria es\s*[\w/\-]+", r"(?im)(?:this site is protected by re|h)captcha.*", r"(?im)apply\.", r"(?im)^\s*[()\w./·\-]+\s*[0-9]+[분초] 전\s*$",
+    r"\b[0-9]{2,4}-[0-9]{3,4}-[0-9]{4}\b", r"(?im)\bwww\.[\w.\-]+\b", r"(?im)\b[\w\-]+\.(?:kr|com|net)\b", "견적문의|서비스요금|체인점찾기|게시대 위치|오프라인광고",
     r"무이자할부|당일발송|데이터복구|전국\s*무료?출장", "더 보기", r"(?im)privacy policy|terms of (?:use|service)|t[eé]rminos(?: de uso)?|cont[aá]ctenos",
 ]
 HEADLINES = [
-    r"(?m)^[\"“‘][^\"”’]{5,150}[\"”’]\s*[.…]+.*$", r"\[(?:공식|단독|속보|영상|오피셜|인터뷰|종합|포토|현장)\]", r"단독\s*보도|현장\s*취재|종합2?보", "기자|앵커|뉴시스|연합뉴스|일간스포츠|마이데일리",
-    r"(?m)^\s*[日美中英独獨韓]\s?[^ \n]{2,}.*$", r"(?m)^[^。\n]{5,200}[.…]{2,}[^。\n]{0,200}$",
+    r"(?m)^(?:\"[^\"]{5,150}\"|“[^”]{5,150}”|‘[^’]{5,150}’)\s*(?:\.|…).*$", r"\[(?:공식|단독|속보|영상|오피셜|인터뷰|종합|포토|현장)\]", r"단독\s*보도|현장\s*취재|종합2?보", "기자|앵커|뉴시스|연합뉴스|일간스포츠|마이데일리",
+    r"(?m)^\s*(?:中|日|独|獨|美|英|韓)\s?\S\S.*$", r"(?m)^(?=[^。\n]{7,400}$).{5,200}?(?:\.\.|\.…|…\.|……).*$",
 ]
-LEFTOVERS = [r"(?im)^and the google$", r"(?m)^\s*\[?편집\]?\s*$", r"(?im)^\s*happy new year\s*$", r"(?im)^\s*qna\s*[:：]?\s*$", r"(?i)recaptcha"]
+LEFTOVERS = [r"(?im)^and the google$", r"(?m)^\s*(?:편집|\[편집\])\s*$", r"(?im)^\s*happy new year\s*$", r"(?im)^\s*qna\s*[:：]?\s*$", r"(?i)recaptcha"]
 LICENSE_SPANS = [
     r"(?i)(?:©|ⓒ|\(c\)).*", r"저작권.*(?:보유|소유)", r"(?i)all\s+rights\s+reserved", "재방송|방영|방송(?:일|시간)", r"\d{4}(?:\.\s?\d{1,2}){2}", r"\d{4}년\s?\d{1,2}월\s?\d{1,2}일",
     r"(?i)amazon\s+prime|crunchyroll|funimation|hulu|netflix", r"(?i)youtube|tiktok|twitter|facebook|인스타그램", "넷플릭스|디즈니\\+?|라프텔|애니플러스|왓챠|쿠팡플레이|티빙", "성우\\s?[가-힣]+", r"(?:감독|각본|연출|원작|작화|제작)\s?:?.*",

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from loam.functions.text import strip
 
-SECTION_ORDER = ("요약", "본문", "줄거리", "설정", "등장인물", "평가", "에피소드", "방영")
-SECTION_NAMES = {"캐릭터": "등장인물", "인물": "등장인물", "세계관": "설정", "개요": "줄거리", "시놉시스": "줄거리", "반응": "평가", "방영 정보": "방영"}
+SECTION_ORDER = tuple("요약 본문 줄거리 설정 등장인물 평가 에피소드 방영".split())
+#: Other names under which a section goes.
+SECTION_NAMES = {other: name for name, others in (("방영", ["방영 정보"]), ("평가", ["반응"]), ("설정", ["세계관"]), ("줄거리", ["시놉시스", "개요"]), ("등장인물", ["인물", "캐릭터"])) for other in others}
 
 
 def first_text(*columns: Column) -> Column:

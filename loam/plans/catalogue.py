@@ -36,7 +36,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-# ---- search ---------------------------------------------------------------------------------------------------------
+# search
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
@@ -172,7 +172,7 @@ def search_by_text(spark, d):
     return rank.reranked(hits, scorer(), 8).select("qid", "vec_id", "rank", "score", "rerank_score")
 
 
-# ---- measures -------------------------------------------------------------------------------------------------------
+# measures
 
 @query(f"WITH {_hits_sql(10)} SELECT qid, CAST(coalesce(max(CASE WHEN label = ql THEN 1 ELSE 0 END), 0) AS INT) AS hit, round(coalesce(1 / min(CASE WHEN label = ql THEN rank END), 0), 6) AS rr FROM h GROUP BY qid")
 def hit_mrr_at_k(spark, d):
@@ -221,7 +221,7 @@ def bootstrap_ci(spark, d):
     return metrics.bootstrap(per.select(F.col("qid").alias("key"), "rr"), "rr")
 
 
-# ---- documents ------------------------------------------------------------------------------------------------------
+# documents
 
 @query("SELECT md5(text) AS h, min(doc_id) AS doc_id, COUNT(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING COUNT(*) > 1")
 def exact_dup_groups(spark, d):

@@ -68,7 +68,7 @@ def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def file_name(seed: Column) -> Column:
     """A seed as a file name: reserved signs to underscores, at most 180 signs."""
-    return F.substring(F.regexp_replace(seed, r'[\\/:*?"<>|]', "_"), 1, 180)
+    return F.substring(F.regexp_replace(seed, r'["*/:<>?\\|]', "_"), 1, 180)
 
 
 def write_by_seed(df: DataFrame, path: str, seed: str = "seed") -> None:
