@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,9 @@ CAPACITY = 2048
 END = 1
 #: Rests under this many tokens aren't cut further.
 SHORT = 64
+#: White space as the tokenizer's pattern sees it, in runs so long that they are kept from the pattern: its matcher gives up on a million.
+LONG = 100_000
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -39,6 +43,23 @@ def encoder(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ids_of(coder, text: str) -> list[int]:
+    """Ids of a text of any length.
+
+    The pattern takes a run of white space as one piece, but for its last sign where a text goes on behind it; a long
+    run goes to the merges as that piece, as the matcher would keep a place on its stack for each of its signs.
+    """
+    if len(text) < LONG:
+        return coder.encode_ordinary(text)
+    out, at = [], 0
+    for run in BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += coder.encode_ordinary(text[at : run.start()])
+        out += coder._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + coder.encode_ordinary(text[at:])
+
+
 def cuts(n: int, capacity: int = CAPACITY, short: int = SHORT) -> list[int]:
     """Lengths of the pieces of n tokens: full sequences, then lengths floor(capacity / k), each exactly a k-th.
 
@@ -59,13 +80,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, and part, k, at: the piece's place in its class in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path).encode_ordinary, TaskContext.get().partitionId()
+        coder, part = encoder(path), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         shapes = [tuple(cuts(r, capacity)) for r in range(capacity)]
         for batch in batches:
             rows, counts, total = [], [], []
             for text in batch.column(1):
-                ids = np.array([*encode(text.as_py() or ""), END], dtype="<u4")
+                ids = np.array([*ids_of(coder, text.as_py() or ""), END], dtype="<u4")
                 at, n = 0, len(ids)
                 view = memoryview(ids.view(np.uint8))
                 lengths = (capacity,) * (n // capacity) + shapes[n % capacity]

@@ -58,6 +58,13 @@ def test_edge_cases(spark):
     assert len(repeated) == 5 and len({(r["sequence_id"], r["offset"]) for r in repeated}) == 5
 
 
+def test_long_white_space(spark):
+    n = 1_100_000
+    texts = ["w" + " " * n + "w", "\n" * n, "a \n" + "\u00a0 " * (n // 2) + "\n's", " " * n + "  12" + "\t" * n + "!", "\x1c" * 200_000 + " x"]
+    rows = list(enumerate(texts))
+    check(harmonic_pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1023, 1024, 1025, 2047, 2048, 2049, 10_000])
 def test_cuts_add_up(n):
     pieces = cuts(n)
