@@ -49,15 +49,18 @@ def block_scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.clip(s, 0, 1)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", digits: int = 6, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
-    """(qid, vec_id, rank, score): for each query (qid, qv) the k best vectors (vec_id, embedding) but itself.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", digits: int = 6, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK, leave_out: str | None = "qid") -> DataFrame:
+    """(qid, vec_id, rank, score): for each query (qid, qv) the k best vectors (vec_id, embedding) but its own.
+
+    Its own is the one whose vec_id is the query's value of the column `leave_out`; None, for queries that aren't among
+    the vectors, leaves out none.
 
     Ranked by score rounded to `digits`, then vec_id. Queries and vectors go to blocks by hash of the id, their numbers
     from the counts; a pair of blocks is one task that sends back k rows a query, so what is shuffled after the products
     is queries * blocks * k rows. Null vectors and such with null or non-finite components are left out.
     """
     fine = lambda c: c.isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    q = queries.where(fine(F.col("qv"))).select(F.col("qid"), F.col("qv").cast("array<double>").alias("v"))
+    q = queries.where(fine(F.col("qv"))).select(F.col("qid"), F.col("qv").cast("array<double>").alias("v"), *([F.col(leave_out).alias("own")] if leave_out else []))
     v = vectors.where(fine(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     n = q.agg(F.count(F.lit(1)).alias("n")).unionByName(v.agg(F.count(F.lit(1)).alias("n")))
     a, b = (max(1, -(-r["n"] // size)) for r, size in zip(n.collect(), (query_block, vector_block)))
@@ -69,9 +72,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
         if left.num_rows and right.num_rows:
             qid, vid = left.column("qid").to_numpy(), right.column("vec_id").to_numpy()
             x, y = (np.stack(t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)) for t in (left, right))
+            own = left.column("own").to_numpy() if leave_out else None
             for a in range(0, len(x), 256):
                 s = np.round(block_scores(x[a : a + 256], y, metric), digits)
-                s[qid[a : a + 256][:, None] == vid[None, :]] = -1
+                if own is not None:
+                    s[own[a : a + 256][:, None] == vid[None, :]] = -1
                 for i, row in enumerate(s):
                     some = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, -k)[-k])
                     best = some[np.lexsort((vid[some], -row[some]))][:k]

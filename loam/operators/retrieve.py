@@ -28,15 +28,15 @@ class Settings:
     min_score: float | None = None
 
 
-def candidates(queries: DataFrame, vectors: DataFrame, n: int, where: dict | None = None, metric: str = "cosine") -> DataFrame:
-    """The hits of queries (qid, qv, ...) among vectors (vec_id, embedding, ...), with the columns of both."""
-    hits = top_k(queries, filtered(vectors, where), min(max(n, 1), 100), metric)
+def candidates(queries: DataFrame, vectors: DataFrame, n: int, where: dict | None = None, metric: str = "cosine", leave_out: str | None = "qid") -> DataFrame:
+    """The hits of queries (qid, qv, ...) among vectors (vec_id, embedding, ...), with the columns of both; leave_out as in top_k."""
+    hits = top_k(queries, filtered(vectors, where), min(max(n, 1), 100), metric, leave_out=leave_out)
     return hits.join(vectors, "vec_id").join(queries, "qid")
 
 
-def baseline(queries: DataFrame, vectors: DataFrame, k: int, settings: Settings = Settings(), *, title: str = "title", document: str = "doc_id", where: dict | None = None, scorer=None, text: str = "text") -> DataFrame:
+def baseline(queries: DataFrame, vectors: DataFrame, k: int, settings: Settings = Settings(), *, title: str = "title", document: str = "doc_id", where: dict | None = None, scorer=None, text: str = "text", leave_out: str | None = "qid") -> DataFrame:
     """(qid, vec_id, rank, score): candidates, one of each document, `cap` of each title, then MMR or the head, then re-ranking."""
-    hits = candidates(queries, vectors, settings.fetch, where)
+    hits = candidates(queries, vectors, settings.fetch, where, leave_out=leave_out)
     if settings.min_score is not None:
         hits = hits.where(F.col("score") >= settings.min_score)
     hits = deduplicated(hits, F.col(document).cast("string"))
@@ -57,10 +57,10 @@ def _finish(hits: DataFrame, k: int, settings: Settings, scorer, text: str) -> D
     return hits.where(F.col("rank") <= k).select("qid", "vec_id", "rank", "score")
 
 
-def multi_query(variants: DataFrame, vectors: DataFrame, k: int, boost=None, settings: Settings = Settings(before_mmr=160), *, title: str = "title", document: str = "doc_id", scorer=None, text: str = "text") -> DataFrame:
+def multi_query(variants: DataFrame, vectors: DataFrame, k: int, boost=None, settings: Settings = Settings(before_mmr=160), *, title: str = "title", document: str = "doc_id", scorer=None, text: str = "text", leave_out: str | None = "qid") -> DataFrame:
     """As baseline over several variants of a query (qid, variant, qv): max(8k, 80) hits of the first, max(4k, 40) of the others."""
     v = variants.withColumn("_v", F.col("qid") * 1000 + F.col("variant"))
-    hits = top_k(v.select(F.col("_v").alias("qid"), "qv"), vectors, min(max(8 * k, 80), 100)).withColumnRenamed("qid", "_v")
+    hits = top_k(v.select(F.col("_v").alias("qid"), "qv", *([F.col(leave_out).alias("_own")] if leave_out else [])), vectors, min(max(8 * k, 80), 100), leave_out="_own" if leave_out else None).withColumnRenamed("qid", "_v")
     hits = hits.join(v.select("_v", "qid", "variant"), "_v").where((F.col("variant") == 0) | (F.col("rank") <= max(4 * k, 40)))
     best = hits.groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
     first = v.where("variant = 0").drop("_v", "variant")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.operators import assemble, knn, metrics, rank, retrieve, upsert
+from loam.plans import catalogue
 from loam.sources import jsonl, tables
 from loam.streaming import ingest
 
@@ -29,6 +30,25 @@ def test_top_k_by_brute_force(spark, metric, blocks):
     assert knn.top_k(q.limit(0), v, 4).count() == 0
 
 
+def test_what_a_search_leaves_out(spark):
+    v = spark.createDataFrame([(i, [1.0, n / 100]) for n, i in enumerate([2, 5, 2000, 2001, 5000])], "vec_id long, embedding array<double>").selectExpr("*", "vec_id AS title", "vec_id AS doc_id")
+    q = v.where("vec_id = 2").selectExpr("vec_id AS qid", "embedding AS qv")
+    found = lambda df: {r["vec_id"] for r in df.collect()}
+    assert found(knn.top_k(q, v, 9)) == {5, 2000, 2001, 5000} and found(knn.top_k(q, v, 9, leave_out=None)) == {2, 5, 2000, 2001, 5000}
+    assert found(knn.top_k(q.withColumn("own", F.lit(5)), v, 9, leave_out="own")) == {2, 2000, 2001, 5000}
+    variants = q.crossJoin(spark.createDataFrame([(0,), (1,)], "variant int"))
+    assert found(retrieve.multi_query(variants, v, 5)) == {5, 2000, 2001, 5000}
+    assert found(retrieve.multi_query(variants, v, 5, leave_out=None)) == {2, 5, 2000, 2001, 5000}
+
+
+def test_a_text_is_found_under_its_own_number(spark, tmp_path):
+    texts = ["apples and pears", "rivers run to the sea", "the tax on salt was raised"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    best = {r["qid"]: r["vec_id"] for r in catalogue.search_by_text(spark, str(tmp_path)).where("rank = 1").collect()}
+    assert best == {0: 0, 1: 1, 2: 2}
+
+
 def test_filters_of_a_search(spark):
     df = spark.createDataFrame([(1, "a", "hello"), (2, "b", "world"), (3, None, None)], "i int, s string, text string")
     ids = lambda **k: sorted(r["i"] for r in knn.filtered(df, **k).collect())
