@@ -106,6 +106,28 @@ def feature_hashes(buf: np.ndarray, at: np.ndarray, width: int = WIDTH) -> np.nd
     return out ^ (out >> np.uint64(29))
 
 
+def brief_features(buf: np.ndarray) -> np.ndarray:
+    """Distinct features of BRIEF bytes in their order; slices keep what is held at once small."""
+    out = []
+    for a in range(0, len(buf) - BRIEF + 1, SLICE):
+        part = feature_hashes(buf, np.arange(a, min(a + SLICE, len(buf) - BRIEF + 1)), BRIEF)
+        out.append(part[np.sort(np.unique(part, return_index=True)[1])])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def with_stretches(text: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A text's features, with those of BRIEF bytes where SHORT bytes or more repeat so soon that no window is chosen."""
+    bounds = np.r_[0, at + WIDTH], np.r_[at, len(text)]
+    gaps = np.flatnonzero(bounds[1] - bounds[0] >= SHORT)
+    if not len(gaps):
+        return hashes
+    out, last = [], 0
+    for k in gaps:
+        out += [hashes[last:k], brief_features(text[bounds[0][k] : bounds[1][k]])]
+        last = k
+    return np.concatenate([*out, hashes[last:]])
+
+
 def filters_of(hashes: np.ndarray) -> np.ndarray:
     """Chained Bloom filters, a row each, of a text's features in their order; one that repeats counts once."""
     if len(hashes):
@@ -119,7 +141,10 @@ def filters_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def digests(texts: list[bytes]) -> list[np.ndarray]:
-    """Filters of each text. One of under BRIEF bytes is one feature as a whole; an empty one has none."""
+    """Filters of each text. One of under BRIEF bytes is one feature as a whole; an empty one has none.
+
+    Stretches of SHORT bytes or more without a chosen window, as periodic ones are, have their windows of BRIEF bytes.
+    """
     gap = np.full(WIDTH, 0xFF, np.uint8).tobytes()  # no byte of UTF-8, so no window's counts reach from text to text
     buf = np.frombuffer(gap + b"".join(t + gap for t in texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -137,7 +162,8 @@ def digests(texts: list[bytes]) -> list[np.ndarray]:
     out = []
     for k, text in enumerate(texts):
         if long[k]:
-            out.append(filters_of(hashes[cuts[k] : ends[k]]))
+            own = slice(cuts[k], ends[k])
+            out.append(filters_of(with_stretches(np.frombuffer(text, np.uint8), at[own] - begin[k], hashes[own])))
         elif lengths[k] >= BRIEF:
             out.append(filters_of(feature_hashes(np.frombuffer(text, np.uint8), np.arange(lengths[k] - BRIEF + 1), BRIEF)))
         else:

@@ -70,3 +70,13 @@ def test_successors_across_parts(spark):
 def test_single_and_none(spark):
     check(spark, [(5, prose(40))], 3)
     assert fingerprinted(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_periodic_texts():
+    units = ["a", "buy now ", "click here! ", "0123456789abcdef", "ab" * 16]
+    marks = [digests([(u * (6000 // len(u))).encode()])[0] for u in units]
+    assert all(len(m) for m in marks)
+    assert all(likeness(a, b) < 0.5 for i, a in enumerate(marks) for b in marks[:i] if i)
+    for u, m in zip(units, marks):
+        half = digests([(u * (3000 // len(u)) + prose(500, 7)).encode()])[0]
+        assert likeness(m, half) > 0.3
