@@ -106,9 +106,9 @@ def title_mmr(df: DataFrame, k: int, penalty: float = 0.6, by: str = "qid", titl
     return ranked(df.withColumn("_w", worth), F.col("_w").desc(), F.col("rank"), by=by, name="_place").where(F.col("_place") <= k).drop("_w", "rank").withColumnRenamed("_place", "rank")
 
 
-def reranked(df: DataFrame, scorer, k: int, query: str = "query", text: str = "text", most: int = 800, by: str = "qid") -> DataFrame:
-    """The k rows that a scorer(query column, text column) puts first; texts are cut at `most` signs for it."""
-    df = df.withColumn("rerank_score", scorer(F.col(query), F.substring(text, 1, most)))
+def reranked(df: DataFrame, scorer, k: int, query: str = "query", text: str = "text", most: int | None = 800, by: str = "qid") -> DataFrame:
+    """The k rows that a scorer(query column, text column) puts first; texts are cut at `most` signs for a scorer whose input is bounded (None: not)."""
+    df = df.withColumn("rerank_score", scorer(F.col(query), F.col(text) if most is None else F.substring(text, 1, most)))
     return ranked(df.drop("rank"), F.col("rerank_score").desc(), *(["id"] if "id" in df.columns else []), by=by).where(F.col("rank") <= k)
 
 

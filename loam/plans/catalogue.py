@@ -169,7 +169,7 @@ def search_by_text(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), e.passages(F.col("text")).alias("embedding"), "doc_id", F.col("source").alias("title"), "text")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), e.queries(F.col("text")).alias("qv"), F.col("text").alias("query"))
     hits = retrieve.candidates(q, docs, 24, leave_out=None).withColumn("id", F.col("vec_id"))
-    return rank.reranked(hits, scorer(), 8).select("qid", "vec_id", "rank", "score", "rerank_score")
+    return rank.reranked(hits, scorer(), 8, most=None).select("qid", "vec_id", "rank", "score", "rerank_score")
 
 
 # measures

@@ -49,6 +49,12 @@ def test_a_text_is_found_under_its_own_number(spark, tmp_path):
     assert best == {0: 0, 1: 1, 2: 2}
 
 
+def test_a_search_scores_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(7, "filler " * 300 + "walnut", "en", "s", 2106)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "filler walnut")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r["rerank_score"] for r in catalogue.search_by_text(spark, str(tmp_path)).collect()] == [1.0]
+
+
 def test_filters_of_a_search(spark):
     df = spark.createDataFrame([(1, "a", "hello"), (2, "b", "world"), (3, None, None)], "i int, s string, text string")
     ids = lambda **k: sorted(r["i"] for r in knn.filtered(df, **k).collect())
