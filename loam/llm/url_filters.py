@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ._shared import table, written
 
-#: Path segments of a URL that entries may name at most.
+#: Path segments that the SQL compares at most; the test tables' entries have one.
 SEGMENTS = 8
 
 
@@ -32,7 +32,7 @@ def url_parts(url) -> tuple:
     host = F.lower(F.regexp_extract(rest, r"^(?:[^/@]*@)?([^/:]*)", 1))
     host = F.regexp_replace(host, r"\.$", "")
     path = F.filter(F.split(F.regexp_extract(rest, r"^[^/]*(/.*)?$", 1), "/"), lambda s: s != "")
-    return F.when(host != "", host), F.slice(path, 1, SEGMENTS)
+    return F.when(host != "", host), path
 
 
 def keys_of(host, path):
@@ -51,14 +51,15 @@ def filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     by commas (empty: none), pattern is the longest of them (of equals the first; null: none). A null or hostless URL or a
     null day falls under none. Intervals of one pattern and category don't overlap, so of each at most one row joins: an
     as-of join as an equality on the pattern and a range on the day. Captures are joined under each of their at most
-    (labels - 1) * (SEGMENTS + 1) patterns, without their texts; Spark broadcasts the intervals where they are below its
+    (labels - 1) * (segments + 1) patterns, segments being the most that an entry has, without their texts; Spark broadcasts the intervals where they are below its
     threshold, else both sides are sorted by pattern and adaptive execution splits what a hot domain makes too large.
     Rows that repeat an id are captures of their own.
     """
     host, path = url_parts(F.col("url"))
-    rows = captures.select("id", "fetched", host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
-    rows = written(rows)
     active = written(intervals(entries))
+    deepest = active.agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit(""))))).first()[0] or 0
+    rows = captures.select("id", "fetched", host.alias("host"), F.slice(path, 1, deepest).alias("path")).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows)
     keyed = rows.where("host IS NOT NULL AND fetched IS NOT NULL").select("_row", "fetched", F.explode(keys_of(F.col("host"), F.col("path"))).alias("pattern"))
     met = keyed.join(active, "pattern").where("fetched >= since AND (until IS NULL OR fetched < until)")
     longest = F.min(F.struct((-F.length("pattern")).alias("l"), F.col("pattern").alias("p")))["p"]

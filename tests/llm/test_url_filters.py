@@ -45,3 +45,10 @@ def test_empty_tables_and_repeated_rows(spark):
     assert run(spark, [one], []) == {1: (False, 0, "", None)}
     df = spark.createDataFrame([one, one], CAPTURES)
     assert filtered(df, spark.createDataFrame([("a.org", "s", "add", D(2023, 1, 1))], ENTRIES)).where("blocked").count() == 2
+
+
+def test_entries_of_many_segments(spark):
+    path = "".join(f"/s{k}" for k in range(12))
+    day = D(2024, 1, 1)
+    got = run(spark, [(1, f"http://a.org{path}/x", day), (2, f"http://a.org{path}", day), (3, f"http://a.org{path[:-1]}", day)], [(f"a.org{path}", "spam", "add", day)])
+    assert got[1] == got[2] == (True, 1, "spam", f"a.org{path}") and got[3] == (False, 0, "", None)
