@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +18,9 @@ BITS, DISTANCE = 256, 50
 #: Tables, bits that each samples, and rows of a bucket beyond which further bits split it.
 TABLES, SAMPLED, BUCKET = 40, 14, 2048
 SEED = 20240611
+#: Runs of letters of scripts without breaks between words (Thai to Tibetan, Burmese, Khmer, kana, Han), and the signs of a feature in them.
+UNBROKEN = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
+GRAM = 3
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,9 +31,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def features(text: str) -> set[str]:
+    """A text's words (split at white space); where a script has no breaks between words, every GRAM signs in a row."""
+    if text.isascii() or not UNBROKEN.search(text):
+        return set(text.split())
+    out = set(UNBROKEN.sub(" ", text).split())
+    for run in UNBROKEN.findall(text):
+        out.update(run[k : k + GRAM] for k in range(max(1, len(run) - GRAM + 1)))
+    return out
+
+
 def simhash(text: str) -> bytes | None:
-    """Fingerprint of the set of a text's words (split at white space); None without words."""
-    words = set(text.split())
+    """Fingerprint of the set of a text's features; None without any."""
+    words = features(text)
     if not words:
         return None
     base = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))

@@ -71,3 +71,13 @@ def test_distance_is_exact():
     bits = np.unpackbits(a, axis=1)
     want = {(x, y) for x in range(len(a)) for y in range(x + 1, len(a)) if group[x] == group[y] and (bits[x] != bits[y]).sum() <= 60}
     assert set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_scripts_without_breaks_between_words():
+    rng = random.Random(8)
+    distance = lambda a, b: int((np.unpackbits(np.frombuffer(S.simhash(a), np.uint8)) != np.unpackbits(np.frombuffer(S.simhash(b), np.uint8))).sum())
+    for first, last in ((0x4E00, 0x9FFF), (0x3041, 0x3096), (0x0E01, 0x0E2E)):
+        a, other = ("".join(chr(rng.randint(first, last)) for _ in range(400)) for _ in range(2))
+        assert distance(a, a[:200] + other[0] + a[201:]) <= S.DISTANCE < distance(a, other)
+    assert S.features("the \u65e5\u672c\u8a9e\u6587 \u4e2d end") == {"the", "\u65e5\u672c\u8a9e", "\u672c\u8a9e\u6587", "\u4e2d", "end"}
+    assert S.features("na\u00efve w\u00f6rds") == {"na\u00efve", "w\u00f6rds"}
