@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 import re
 import zlib
@@ -26,38 +26,65 @@ LONG = 100_000
 BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE whose ranks are in `path`; special tokens in a text are ordinary text."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+def _byte_of() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def ids_of(coder, text: str) -> list[int]:
-    """Ids of a text of any length.
+class Coder:
+    """The byte-level BPE of a tokenizer file, with its added tokens: ids are those that `tokenizers` gives for the file.
 
-    The pattern takes a run of white space as one piece, but for its last sign where a text goes on behind it; a long
-    run goes to the merges as that piece, as the matcher would keep a place on its stack for each of its signs.
+    Its merges are in the order of their ids, so the vocabulary is all that the faster library needs.
     """
-    if len(text) < LONG:
-        return coder.encode_ordinary(text)
-    out, at = [], 0
-    for run in BLANKS.finditer(text):
-        end = run.end() - (run.end() < len(text))
-        out += coder.encode_ordinary(text[at : run.start()])
-        out += coder._encode_single_piece(text[run.start() : end])
-        at = end
-    return out + coder.encode_ordinary(text[at:])
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        byte = _byte_of()
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in found["model"]["vocab"].items()}
+        self.added = {t["content"]: t["id"] for t in found["added_tokens"]}
+        for t in self.added:
+            ranks.pop(t.encode(), None)
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.bpe = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text of any length. An added token's string is that token; what lies between them is encoded by itself."""
+        if self.cut is None or not any(t in text for t in self.added):
+            return self._plain(text)
+        out: list[int] = []
+        for k, part in enumerate(self.cut.split(text)):
+            out += [self.added[part]] if k % 2 else self._plain(part)
+        return out
+
+    def _plain(self, text: str) -> list[int]:
+        """The pattern takes a run of white space as one piece, but for its last sign where a text goes on behind it; a long
+        run goes to the merges as that piece, as the matcher would keep a place on its stack for each of its signs."""
+        if len(text) < LONG:
+            return self.bpe.encode_ordinary(text)
+        out, at = [], 0
+        for run in BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self.bpe.encode_ordinary(text[at : run.start()])
+            out += self.bpe._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + self.bpe.encode_ordinary(text[at:])
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Coder:
+    return Coder(path)
 
 
 def cuts(n: int, capacity: int = CAPACITY, short: int = SHORT) -> list[int]:
@@ -86,7 +113,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             rows, counts, total = [], [], []
             for text in batch.column(1):
-                ids = np.array([*ids_of(coder, text.as_py() or ""), END], dtype="<u4")
+                ids = np.array([*coder.ids(text.as_py() or ""), END], dtype="<u4")
                 at, n = 0, len(ids)
                 view = memoryview(ids.view(np.uint8))
                 lengths = (capacity,) * (n // capacity) + shapes[n % capacity]
@@ -132,12 +159,15 @@ def fill_rests(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
 def harmonic_pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents (doc_id, text) with sequence_id and offset, in sequences of at most `capacity` ids.
 
-    A document is its ids and then END (a null or empty text: END alone). It is cut into full sequences and into
+    A document is its ids, as `tokenizers` gives them for the file at `path` without adding special tokens (one that the
+    file names, as <|endoftext|>, is that token where a text holds its string), and then END (a null or empty text: END
+    alone), whatever the text's length. It is cut into full sequences and into
     pieces whose length is a k-th of the capacity; short rests stay whole. A bin of class k holds k pieces of it. Bins
     are numbered by the piece's place in its class over the whole corpus: its place in its partition, which the
     tokenising task counts, plus the pieces of the class in earlier partitions, so partitions work independently and
     leave no bin of their own half full. What remains of each class over the corpus, under `capacity` pieces whatever
-    its size, fills shared bins. Rows that repeat are packed each; an empty table gives an empty one.
+    its size, fills shared bins. Rows that repeat, or repeat an id or have none, are packed each, ties among pieces of a
+    class going by their place in the partition; other columns are left; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, path or vocabulary_path(), capacity))
@@ -160,10 +190,17 @@ def harmonic_pack(docs: DataFrame, *, path: str | None = None, capacity: int = C
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 ids."""
+    """All documents in sequences of at most 2048 ids: one row a piece, as harmonic_pack has it.
+
+    Null and empty texts are one id, END; texts of any length are encoded whole; repeated rows and ids are packed each; other
+    columns are left; an empty table gives no rows.
+    """
     return harmonic_pack(table(spark, sf_dir, "documents"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of docs in sequences of at most 2048 ids."""
+    """The pieces of docs (its columns doc_id and text; others, whatever their names, are left) in sequences of at most 2048 ids.
+
+    Null, empty and long texts, repeated rows and an empty docs as in op6_packing.
+    """
     return harmonic_pack(docs)
