@@ -1,6 +1,8 @@
 import datetime as dt
 
-from loam.llm.url_filters import filtered, intervals
+import duckdb
+
+from loam.llm.url_filters import OP3_SQL, filtered, intervals, op3_url_filters
 
 D = dt.date
 ENTRIES = "pattern string, category string, action string, day date"
@@ -52,3 +54,30 @@ def test_entries_of_many_segments(spark):
     day = D(2024, 1, 1)
     got = run(spark, [(1, f"http://a.org{path}/x", day), (2, f"http://a.org{path}", day), (3, f"http://a.org{path[:-1]}", day)], [(f"a.org{path}", "spam", "add", day)])
     assert got[1] == got[2] == (True, 1, "spam", f"a.org{path}") and got[3] == (False, 0, "", None)
+
+
+def test_entries_are_read_as_urls_are(spark):
+    day = D(2024, 1, 1)
+    entries = [(p, "spam", "add", day) for p in ("Upper.org", "slash.org/", "https://u@full.org:80//A/b/?q#f", "net", "localhost", "10.0.0.1", "[2001:DB8::1]", "0.0.1", "", "http://", "  ", "/x")]
+    urls = ["http://upper.org/", "http://x.slash.org", "http://full.org/A/b/c", "http://full.org/a/b", "http://some.net", "http://localhost:80/x", "http://10.0.0.1/x", "http://11.0.0.1", "http://[2001:db8::1]:443/x", "http://[2001:db8::2]/", "http://net/", "http://upper.org/" + "p/" * 200_000]
+    got = run(spark, [(k, u, day) for k, u in enumerate(urls)], entries)
+    assert [got[k][3] for k in range(len(urls))] == ["upper.org", "slash.org", "full.org/A/b", None, None, "localhost", "10.0.0.1", None, "[2001:db8::1]", None, "net", "upper.org"]
+
+
+def test_other_columns_and_clashing_names(spark):
+    names = "id long, url string, fetched date, _row string, host int, pattern int, n int"
+    df = spark.createDataFrame([(1, "http://a.org", D(2024, 1, 1), "r", 1, 2, 3)], names)
+    entries = spark.createDataFrame([("a.org", "s", "add", D(2023, 1, 1), "h", 1)], ENTRIES + ", host string, until int")
+    assert [tuple(r) for r in filtered(df, entries).collect()] == [(1, D(2024, 1, 1), "a.org", 1, "s", "a.org", True)]
+
+
+def test_query_agrees_with_its_sql(spark, tmp_path):
+    rows = [(9001, "http://10.0.0.1/a"), (9002, None), (9003, ""), (9004, "http://[::1]/x"), (9005, "http://A.b.example.org:8/p/q/r"), (9006, "x" * 100_000)]
+    small = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, host string")
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").unionByName(small.select("page_id", "url")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    found = op3_url_filters(spark, str(tmp_path))
+    want = db.sql(OP3_SQL)
+    mine = sorted((tuple(r) for r in found.select(*want.columns).collect()), key=str)
+    assert mine == sorted(want.fetchall(), key=str) and len(mine) == 56
