@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,25 +18,23 @@ ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label to template. [[...]] may be missing; {{n}} stands for up to n words of any kind; {{a|b c}} for one of the wordings.
-TEMPLATES = {
-    "mit-notice": "{{released|licensed|distributed}} under the [[terms of the]] MIT license",
-    "apache-2.0-notice": "licensed under the Apache license [[version 2.0]]",
-    "gpl-3.0-notice": "this {{work|program|software|file}} is [[free software and is]] licensed under the [[terms of the]] GNU general public license version 3 [[or any later version]]",
-    "cc-by-nc-4.0": "licensed under [[a]] {{cc|creative commons}} {{by|attribution}} {{nc|noncommercial}} 4.0 [[international license]]",
-    "cc-by-4.0": "licensed under [[a]] {{cc|creative commons}} {{by|attribution}} 4.0 [[international license]]",
-    "mit-text": """[[copyright {{20}}]] permission is hereby granted free of charge to any person obtaining a copy of this software
-        and associated documentation files the software to deal in the software without restriction including without limitation
-        the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons
-        to whom the software is furnished to do so subject to the following conditions the above copyright notice and this
-        permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software
-        the software is provided as is without warranty of any kind express or implied""",
-    "isc-text": """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-        provided that the above copyright notice and this permission notice appear in all copies the software is provided as is
-        and {{6}} disclaims all warranties""",
-}
-#: A text without these has no place of any phrase or template.
-TRIGGER = "licens|permission"
+
+
+def read_templates() -> dict[str, str]:
+    """Label to template of the folder `templates`: a file each, or several short ones in the lines of notices.txt.
+
+    In a template [[...]] may be missing; {{n}} stands for up to n words of any kind; {{a|b c}} for one of the wordings.
+    """
+    found = {}
+    for f in sorted(files(__package__).joinpath("templates").iterdir(), key=lambda f: f.name):
+        if f.name == "notices.txt":
+            found |= dict(line.split(" = ", 1) for line in f.read_text(encoding="utf-8").splitlines() if line)
+        elif f.name.endswith(".txt"):
+            found[f.name.removesuffix(".txt")] = f.read_text(encoding="utf-8")
+    return found
+
+
+TEMPLATES = read_templates()
 
 
 def words(text: str) -> list[str]:
@@ -66,6 +65,34 @@ def parsed(markup: str) -> list:
     return run(0)[0]
 
 
+def mandatory(steps: list) -> set[str]:
+    """Words that every text which matches these steps has."""
+    found: set[str] = set()
+    for step in steps:
+        if isinstance(step, str):
+            found.add(step)
+        elif step[0] == "one":
+            found |= set.intersection(*map(mandatory, step[1])) if step[1] else set()
+    return found
+
+
+def trigger(templates: dict[str, str], phrases: dict[str, str]) -> str | None:
+    """A pattern that finds something in every text with a place of any of them: a few words, one of which each must have.
+
+    None where one has no word that all its wordings share; then every text is to be read.
+    """
+    left = [mandatory(parsed(m)) for m in templates.values()] + [set(p.split()) for p in phrases]
+    if not all(left):
+        return None
+    chosen = []
+    while left:
+        # long words are rarer; of those as long, the one that the most others need too
+        best = max(set().union(*left), key=lambda w: (sum(any(w in y for y in x) for x in left) * len(w) ** 2, w))
+        chosen.append(best)
+        left = [x for x in left if not any(best in w for w in x)]
+    return "(?i)" + "|".join("\\Q" + w + "\\E" for w in chosen) if chosen else "^\\b$"
+
+
 class Automaton:
     """All templates as one automaton: for each state the states that a given word, or any word, leads to."""
 
@@ -138,12 +165,14 @@ class Automaton:
         return found
 
 
-def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, trigger: str = TRIGGER) -> DataFrame:
+def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of rows (doc_id, text).
 
-    Words are counted by Spark; only texts that hold the trigger reach the automata. score is 1 where a template's whole
-    wording is there, 0.5 where only a phrase is, else 0. Null texts are empty and have no words; without places first_word
-    and last_word are null and labels empty strings. Repeated rows are scanned each; an empty table gives an empty one.
+    Words are counted by Spark; only texts with one of the words that templates and phrases can't do without reach the
+    automata, which read them whole, however long. score is 1 where a template's whole wording is there, 0.5 where only a
+    phrase is, else 0. Null texts are empty and have no words; without places first_word and last_word are null and labels
+    empty strings. Of places or labels that tie the smallest and largest are given, or all. Repeated rows, and rows of equal
+    or no id, are scanned each; other columns, whatever their names, are left; an empty table gives an empty one.
     """
     lists = [(p.split(), label) for p, label in phrases.items()]
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -170,12 +199,18 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dic
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     n = F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long")
-    sent = docs.select("doc_id", n.alias("n_words"), F.when(F.col("text").rlike(f"(?i){trigger}"), F.col("text")).alias("text"))
+    needed = trigger(templates, phrases)
+    some = F.col("text") if needed is None else F.when(F.col("text").rlike(needed), F.col("text"))
+    sent = docs.select("doc_id", n.alias("n_words"), some.alias("text"))
     return sent.mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the places of the base phrases and the labels of phrases and templates."""
+    """All documents with the places of the base phrases and the labels of phrases and templates; a row each, as scanned has it.
+
+    Null and empty texts have no words, places or labels; texts of any length are read whole; repeated rows are scanned
+    each; other columns are left; an empty table gives no rows.
+    """
     return scanned(table(spark, sf_dir, "documents"))
 
 

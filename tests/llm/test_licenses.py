@@ -1,9 +1,10 @@
 import random
 import re
 
+import duckdb
 import pytest
 
-from loam.llm.licenses import PHRASES, TEMPLATES, Automaton, as_regex, parsed, scanned, words
+from loam.llm.licenses import OP10_SQL, PHRASES, TEMPLATES, Automaton, as_regex, mandatory, op10_licenses, parsed, scanned, trigger, words
 
 
 def test_words():
@@ -55,3 +56,51 @@ def test_scan(spark):
     assert by[6] == (2, 1, 0, 0, "mit", "mit", 0.5) and by[7] == (3, 0, None, None, "", "", 0.0)
     assert set(PHRASES.values()) == {"mit", "apache", "gpl"}
     assert scanned(df.limit(0)).count() == 0
+
+
+def one_wording(steps, rng):
+    """Words of a text that the steps match, drawn among the wordings."""
+    out = []
+    for step in steps:
+        if isinstance(step, str):
+            out.append(step)
+        elif step[0] == "any":
+            out += rng.choices(["some", "body"], k=rng.randint(0, step[1]))
+        else:
+            out += one_wording(rng.choice(step[1]), rng)
+    return out
+
+
+@pytest.mark.parametrize("label", TEMPLATES)
+def test_every_template_matches_its_wordings_and_passes_the_trigger(label):
+    rng, a, steps = random.Random(1), Automaton(TEMPLATES), parsed(TEMPLATES[label])
+    found = re.compile(trigger(TEMPLATES, PHRASES).replace("\\Q", "").replace("\\E", ""))
+    for _ in range(20):
+        w = one_wording(steps, rng)
+        assert label in a.labels(["x", *w, "y"]) and found.search(" ".join(w).upper())
+        need = [k for k, x in enumerate(w) if w.count(x) == 1 and x in mandatory(steps)]
+        k = rng.choice(need)
+        assert label not in a.labels([*w[:k], "qqq", *w[k + 1 :]])
+
+
+def test_templates_without_common_words(spark):
+    df = spark.createDataFrame([(1, "Qu\u00e9 dice aqu\u00ed"), (2, "one two"), (3, "nothing"), (4, "x 9 y")], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in scanned(df, {"a": "dice [[no]] aqu\u00ed", "b": "{{one|two}} two"}).collect()}
+    assert got == {1: "a", 2: "b", 3: "", 4: ""}
+    assert trigger({"c": "{{x|y}} {{2}}"}, {}) is None
+    got = {r["doc_id"]: r["labels"] for r in scanned(df, {"c": "{{x|y}} {{1}} {{y|z}}"}, {}).collect()}
+    assert got == {1: "", 2: "", 3: "", 4: "c"}
+    assert {r["labels"] for r in scanned(df, {}, {}).collect()} == {""}
+
+
+def test_query_agrees_with_its_sql(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(one_wording(parsed(m), rng)) + ". MIT License" * (k % 2) for k, m in enumerate(TEMPLATES.values())]
+    rows = [(9000 + k, t) for k, t in enumerate([*texts, None, "", "general public license " * 3, "word " * 50_000 + "Apache License"])]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs.withColumn("labels", docs["doc_id"]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found, want = op10_licenses(spark, str(tmp_path)), db.sql(OP10_SQL)
+    assert dict(found.dtypes) == {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"}
+    assert sorted(map(tuple, found.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
