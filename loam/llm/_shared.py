@@ -6,9 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch; texts can be long, so it is kept well under Spark's default.
@@ -16,16 +18,21 @@ ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder; Arrow batches are kept small as its texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """One table of a data folder. Where the session allows larger Arrow batches, they are limited to ARROW_ROWS rows from
+    here on, as texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset one of our own, which only a local master may have."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loam-checkpoint-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not sc.getCheckpointDir():
@@ -33,12 +40,63 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that written() made and nobody deleted yet, with their sessions.
+_made: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that written() returned and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_loam_folder", None)
+        if path and (spark := _made.pop(path, None)):
+            _delete(spark, path)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At the end, what written() made within is deleted, but for tables given to the function that this yields."""
+    stay = set(_made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        stay.add(getattr(df, "_loam_folder", ""))
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _made if p not in stay]:
+            _delete(_made.pop(path), path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    """What results were still to be read from when the program ended."""
+    for path in list(_made):
+        try:
+            _delete(_made.pop(path), path)
+        except Exception:  # the session has stopped
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table written in the shared folder and read again: its lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loam-{uuid.uuid4().hex}"
+    _made[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._loam_folder = path
+    return found
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """docs written as _doc, a struct of its columns whose names so can't clash with ours, and _row, a number of its own a row."""
+    return written(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -59,8 +117,6 @@ def ranked(df: DataFrame, group: str, order: list[Column], name: str = "rank") -
     numbered = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id()))
     numbered = numbered.withColumn("_pid", F.shiftright(mid, 33))
     parts = numbered.groupBy("_pid", g.alias("_g")).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumnRenamed("_pid", "_p")
     joined = numbered.join(parts, (numbered["_pid"] == parts["_p"]) & g.eqNullSafe(parts["_g"]))
@@ -100,7 +156,9 @@ def connected_components(edges: DataFrame, seed: int = 1) -> DataFrame:
         maps.append(m)
         to_a, to_b = (m.select(F.col("id").alias(c), F.col("r").alias(f"r{c}")) for c in "ab")
         moved = e.join(to_a, "a").join(to_b, "b")
-        e = written(moved.where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        last, e = e, written(moved.where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        discard(last)
+    discard(e)
     if not maps:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
     found = maps[0]
@@ -108,5 +166,6 @@ def connected_components(edges: DataFrame, seed: int = 1) -> DataFrame:
         step = m.select(F.col("id").alias("r"), F.col("r").alias("_next"))
         found = found.join(step, "r", "left").select("id", F.coalesce("_next", "r").alias("r"))
     found = written(found)
+    discard(*maps)
     least = found.groupBy("r").agg(F.min(F.least("id", "r")).alias("component"))
     return found.join(least, "r").select("id", "component")

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import ranked, table, written
+from ._shared import boxed, ranked, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: Share of all sizes that the mix takes, and how many times its size a source or document may be taken at most.
 SHARE, MOST = 1.5, 2
 SEED = "mix-1"
-#: A document of more than 1 / CERTAIN of its source's target is taken a fixed number of times.
-CERTAIN = 20
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -42,28 +40,22 @@ def systematic_mix(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()
 
     A document's expected copies are target / source_size, the same throughout a source. In order of (size, doc_id) the
     prefix sums of these, plus one offset that md5 of seed and source gives, cross an integer boundary once for every
-    copy. Ordering by size makes neighbours alike, so the words taken come within about one document of the target.
-    Documents of more than 1 / CERTAIN of the target would be too coarse for that: each is taken its expected copies,
-    rounded, and the others of its source make up the difference (where they can't, none is treated so).
-    A source without words has target 0 and no copies; null sources are a source; rows repeated in docs are taken on
-    their own; an empty table gives an empty one. Columns named in `keep` are carried along. Only counts a range and a source meet in one task.
+    copy, so each document is taken its expected copies, rounded up or down, with the chances that make up the
+    expectation. Ordering by size makes neighbours alike: the words taken come within one document (the source's largest)
+    of the target. A source without words has target 0 and no copies; null sources are a source; null and empty texts have
+    size 0; texts of any length count whole; rows repeated in docs, or of equal size and id, are taken on their own in an
+    order that doesn't matter to the words taken; columns named in `keep` are carried along, others left; an empty table
+    gives an empty one. Only counts a range and a source, and the sources themselves, a row each, meet in one task.
     """
     narrow = written(docs.select("doc_id", "source", "size", *keep))
     targets = source_targets(narrow.select("source", "size"), **rules).withColumnRenamed("source", "_s")
-    targets = targets.withColumn("_e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.concat(F.lit("s"), F.col("_s")), F.lit("null")))
-    targets = written(targets.withColumn("_u", F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0))
-    large = F.col("size") * CERTAIN > F.col("target")
-    lumps = narrow.join(targets, narrow["source"].eqNullSafe(targets["_s"])).where(large).groupBy(F.col("_s").alias("_t")).agg(F.sum("size").alias("_lump"))
-    targets = targets.join(lumps, targets["_s"].eqNullSafe(lumps["_t"]), "left")
-    fixed, lump = F.floor(F.col("_e") + 0.5), F.coalesce(F.col("_lump"), F.lit(0))
-    rest = F.when(lump < F.col("source_size"), (F.col("target") - fixed * lump) / (F.col("source_size") - lump))
-    can = F.coalesce((rest >= 0) & (rest <= rules.get("most", MOST)), F.lit(False))
-    targets = targets.select("_s", "source_size", "target", "_u", can.alias("_can"), fixed.alias("_fixed"), F.when(can, rest).otherwise(F.col("_e")).alias("_x"))
+    offset = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0
+    targets = written(targets.select("_s", "source_size", "target", expected.alias("_e"), offset.alias("_u")))
     at = ranked(narrow, "source", [F.col("size").asc(), F.col("doc_id").asc_nulls_first()], "_at")
     out = at.join(targets, at["source"].eqNullSafe(targets["_s"]))
-    crossed = F.floor((F.col("_at") + 1) * F.col("_x") + F.col("_u")) - F.floor(F.col("_at") * F.col("_x") + F.col("_u"))
-    copies = F.when(F.col("_can") & large, F.col("_fixed")).otherwise(crossed)
+    copies = F.floor((F.col("_at") + 1) * F.col("_e") + F.col("_u")) - F.floor(F.col("_at") * F.col("_e") + F.col("_u"))
     return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *keep)
 
 
@@ -73,17 +65,24 @@ def with_sizes(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the words that the mix takes of each."""
+    """All documents with the words that the mix takes of each: doc_id, size, source_size, target, taken.
+
+    Null and empty texts have size 0 and give no words; a null source is a source; long texts count whole; rows that repeat
+    are taken on their own; other columns are left; an empty table gives no rows. Reruns agree.
+    """
     mix = systematic_mix(with_sizes(table(spark, sf_dir, "documents")))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs, each row as often as the mix takes it."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    mix = systematic_mix(with_sizes(rows, "_row"), keep=("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    taken = rows.join(mix, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return taken.select(*docs.columns)
+    """docs, each row as often as the mix takes it, all its columns as they are, whatever their names.
+
+    Null, empty and long texts, null sources, repeated rows and an empty docs as in systematic_mix.
+    """
+    rows = boxed(docs)
+    mix = systematic_mix(with_sizes(rows.select("_doc.doc_id", "_doc.source", "_doc.text", "_row"), "_row"), keep=("_row",))
+    mix = mix.where("copies > 0").select("_row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_copy"))
+    return rows.join(mix, "_row").select("_doc.*")
 
 
 OP7_SQL = r"""
@@ -103,16 +102,10 @@ l AS (
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e,
     CAST(CAST('0x' || substr(md5('mix-1:' || COALESCE('s' || source, 'null')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM t
-), b AS (
-  SELECT d.source, SUM(size) AS lump FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source WHERE size * 20 > target GROUP BY d.source
-), x AS (
-  SELECT e.*, floor(e + CAST(0.5 AS DOUBLE)) AS fixed, COALESCE(lump, 0) AS lump,
-    CASE WHEN COALESCE(lump, 0) < source_size THEN (target - floor(e + CAST(0.5 AS DOUBLE)) * COALESCE(lump, 0)) / (source_size - COALESCE(lump, 0)) END AS rest
-  FROM e LEFT JOIN b ON e.source IS NOT DISTINCT FROM b.source
-), y AS (SELECT *, COALESCE(rest >= 0 AND rest <= 2, false) AS can, CASE WHEN rest >= 0 AND rest <= 2 THEN rest ELSE e END AS f FROM x),
+),
 n AS (
   SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS k FROM d
 )
-SELECT doc_id, size, source_size, target, size * CAST(CASE WHEN can AND size * 20 > target THEN fixed ELSE floor((k + 1) * f + u) - floor(k * f + u) END AS BIGINT) AS taken
-FROM n JOIN y ON n.source IS NOT DISTINCT FROM y.source
+SELECT doc_id, size, source_size, target, size * CAST(floor((k + 1) * e + u) - floor(k * e + u) AS BIGINT) AS taken
+FROM n JOIN e ON n.source IS NOT DISTINCT FROM e.source
 """
