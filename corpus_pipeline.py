@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loam.llm._shared import table, written
+from loam.llm._shared import discard, scratch, table, written
 from loam.llm.mixing import mixing_stage
 from loam.llm.packing import packing_stage
 from loam.llm.quality import quality_stage
@@ -25,8 +25,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents of a folder through the stages; what each returns is written in the shared folder and read again."""
+    """All documents of a folder through the stages; what each returns is written in the shared folder and read again.
+
+    What a stage wrote for itself is deleted once its result is there, and that once the next one's is. An empty table
+    gives no rows; for nulls, empty and long texts, ties, repeated rows and further columns see the stages.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch() as keep:
+            following = keep(written(stage(spark, docs, sf_dir)))
+        discard(docs)
+        docs = following
     return STAGES[-1][1](spark, docs, sf_dir)
