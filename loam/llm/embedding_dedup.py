@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, local_components, table, written
+from ._shared import connected_components, discard, local_components, table, written
 
 THRESHOLD = 0.93
 #: Vectors of a block, and of the smaller tiles that a task multiplies one after the other.
@@ -17,28 +17,35 @@ EXACT = 1024
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 values (as float32), scale, length of the quantised vector, and length of what rounding lost, a row each."""
+    """int8 values, scale, length of the quantised vector, and length of what rounding lost, a row each."""
     scale = np.abs(unit).max(axis=1) / 127
     q = np.rint(unit / scale[:, None])
     near = q * scale[:, None]
     lost = np.sqrt(((unit - near) ** 2).sum(axis=1))
-    return q.astype(np.float32), scale, np.sqrt((near**2).sum(axis=1)), lost
+    return q.astype(np.int8), scale, np.sqrt((near**2).sum(axis=1)), lost
 
 
 def int_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T, exact: the summands are whole numbers."""
+    """a @ b.T of int8 values, exact: a tile's go through float32, whose product is fast and holds such sums exactly."""
+    a, b = a.astype(np.float32), b.astype(np.float32)
     out = a[:, :EXACT] @ b[:, :EXACT].T
     for k in range(EXACT, a.shape[1], EXACT):
         out = out.astype(np.float64) + a[:, k : k + EXACT] @ b[:, k : k + EXACT].T
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither overflow nor vanish; cosines stay what they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows of x and y with cosine >= threshold in double precision; i < j where x and y are the same.
 
     With u = s q + e for unit vectors, u.v differs from s_u s_v q_u.q_v by at most |s_u q_u||e_v| + |e_u||s_v q_v| +
     |e_u||e_v|. Pairs that this bound keeps below the threshold are done; the others are multiplied in full.
     """
+    x, y = scaled(x), scaled(y)
     norm = [np.sqrt((m * m).sum(axis=1)) for m in (x, y)]
     (qx, sx, lx, ex), (qy, sy, ly, ey) = (quantise(m / n[:, None]) for m, n in zip((x, y), norm))
     found = []
@@ -69,7 +76,8 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     copies, however large, is one row of the tiles. Classes of a label go to blocks of about `block` rows by hash, and
     every pair of blocks is a task, so a hot label is split. A task sends back one row per class with the number of its
     links and the smallest class its links lead to, never pairs. Rows that repeat a vec_id are vectors of their own,
-    under the same id. An empty table gives an empty one.
+    linked by their own label and components, under the same id. Vectors of any length and size of components count;
+    other columns, whatever their names, are left. An empty table gives an empty one.
     """
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -77,14 +85,14 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     rows = vectors.select("vec_id", "label", F.when(F.coalesce(good, F.lit(False)), F.col("embedding")).alias("v"))
     alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     rows = rows.where("v IS NOT NULL")
-    classes = written(rows.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    classes = written(rows.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
     sizes = classes.groupBy("label", F.size("v").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    keyed = classes.withColumn("dim", F.size("v")).join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    keyed = classes.withColumn("dim", F.size("v")).join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sent = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("label", "dim", "i", "j", "own", "id", "n", "v")
+    sent = sent.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("label", "dim", "i", "j", "own", "node", "n", "v")
 
     def tile(t: pa.Table) -> pa.Table:
-        ids, n, own = (t.column(c).to_numpy() for c in ("id", "n", "own"))
+        ids, n, own = (t.column(c).to_numpy() for c in ("node", "n", "own"))
         dim = t.column("dim")[0].as_py()
         x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
@@ -100,18 +108,23 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         place[order] = np.arange(len(ids))
         root = order[local_components(len(ids), place[a], place[b])][place]
         some = np.nonzero(degree)[0]
-        return pa.table({"id": ids[some], "degree": degree[some], "root": ids[root[some]]})
-
-    kind = classes.schema["id"].dataType.simpleString()
-    found = written(sent.groupBy("label", "dim", "i", "j").applyInArrow(tile, f"id {kind}, degree long, root {kind}"))
-    degree = found.groupBy("id").agg(F.sum("degree").alias("degree"))
-    component = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = classes.join(degree, "id", "left").join(component, "id", "left")
-    known = known.select("label", "v", (F.coalesce("degree", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        return pa.table({"node": ids[some], "degree": degree[some], "root": ids[root[some]]})
+
+    found = written(sent.groupBy("label", "dim", "i", "j").applyInArrow(tile, "node long, degree long, root long"))
+    degree = found.groupBy("node").agg(F.sum("degree").alias("degree"))
+    roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("component").alias("root"))
+    joined = written(classes.join(degree, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    discard(found, classes)
+    least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
+    known = joined.join(least, "root").select("label", "v", (F.coalesce("degree", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.join(known, ["label", "v"]).select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors with the number of their links and the component they belong to."""
+    """All vectors with the number of their links, the component they belong to and whether they are kept, as embedding_links has it.
+
+    Null labels, null and zero vectors, null or non-finite components and null ids link with nothing; ties at the threshold
+    link; vectors of any length and repeated rows count; other columns are left; an empty table gives no rows.
+    """
     return embedding_links(table(spark, sf_dir, "embeddings"))

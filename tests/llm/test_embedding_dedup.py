@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loam.llm.embedding_dedup import embedding_links, int_product, quantise
+from loam.llm.embedding_dedup import embedding_links, int_product, op5_embedding_dedup, quantise
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -61,3 +61,23 @@ def test_bound_holds(seed, dim, spread):
     q, s, near, lost = quantise(u)
     top = int_product(q, q) * s[:, None] * s[None, :] + near[:, None] * lost[None, :] + lost[:, None] * (near + lost)[None, :] + 1e-6
     assert (u @ u.T <= top).all()
+
+
+def test_repeated_ids_keep_their_own_links(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.1], 2), (1, [0.0, 1.0], 2), (2, [1.0, 0.01], 1), (3, [0.9, 0.0], 1), (4, [0.1, 1.0], 2)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_links(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 1)]
+
+
+def test_components_of_any_size(spark):
+    rows = [(1, [1e-200, 0.0], 1), (2, [2e-200, 0.0], 1), (3, [1e200, 1e190], 1), (4, [5e-324, 0.0], 1), (5, [0.0, 1e300], 1), (6, [1.0] * 3000, 2), (7, [2.0] * 3000, 2)]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, embedding array<double>, label int, node int, id string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_links(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
+def test_query_against_all_pairs(spark):
+    found = op5_embedding_dedup(spark, "/root/testdata/sf0.001")
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    assert dict(found.dtypes) == {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found.collect()} == brute(rows)
