@@ -35,7 +35,7 @@ def brute(rows):
     return {i: len(x) for i, x in links.items()}, comp
 
 
-@pytest.mark.parametrize("bucket", [2048, 2])
+@pytest.mark.parametrize("bucket", [16384, 2])
 def test_against_all_pairs(spark, bucket):
     rows = list(enumerate(texts())) + [(9001, None), (9002, ""), (9003, " \n")]
     df = spark.createDataFrame(rows, "id long, text string")
@@ -50,7 +50,7 @@ def test_against_all_pairs(spark, bucket):
 def test_splitting_buckets_loses_nothing(spark):
     rows = list(enumerate(texts(30, 8)))
     df = spark.createDataFrame(rows, "id long, text string")
-    a, b = (sorted(map(tuple, S.near_duplicates(df, bucket=x).collect())) for x in (2048, 3))
+    a, b = (sorted(map(tuple, S.near_duplicates(df, bucket=x).collect())) for x in (16384, 3))
     assert a == b
 
 
@@ -81,3 +81,42 @@ def test_scripts_without_breaks_between_words():
         assert distance(a, a[:200] + other[0] + a[201:]) <= S.DISTANCE < distance(a, other)
     assert S.features("the \u65e5\u672c\u8a9e\u6587 \u4e2d end") == {"the", "\u65e5\u672c\u8a9e", "\u672c\u8a9e\u6587", "\u4e2d", "end"}
     assert S.features("na\u00efve w\u00f6rds") == {"na\u00efve", "w\u00f6rds"}
+
+
+@pytest.mark.parametrize("nodes", [1000, 10**8])
+def test_recall_at_every_distance(nodes):
+    sampled, tables = S.parameters(nodes)
+    rng = np.random.default_rng(9)
+    assert (sampled > S.SAMPLED) == (nodes > S.NODES)
+    for d in range(2, S.DISTANCE + 1, 8):
+        a = rng.integers(0, 256, (3000, 32), np.uint8)
+        flip = np.zeros((3000, 256), np.uint8)
+        np.put_along_axis(flip, np.argsort(rng.random((3000, 256)), axis=1)[:, :d], 1, axis=1)
+        met = (S.sampled_keys(a, sampled, tables) == S.sampled_keys(a ^ np.packbits(flip, axis=1), sampled, tables)).any(axis=1).mean()
+        assert met >= 0.9, d
+
+
+def test_repeated_ids_keep_their_own_links(spark):
+    a, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, a), (1, other), (2, a + " more"), (None, a), (7, other)]
+    got = sorted((r["id"] or 0, r["n_links"], r["component_id"]) for r in S.near_duplicates(spark.createDataFrame(rows, "id long, text string")).collect())
+    assert got == [(0, 0, None), (1, 1, 1), (1, 1, 1), (2, 1, 1), (7, 1, 1)]
+
+
+def test_clashing_names_and_text_ids(spark):
+    rows = [("b", "some words here", 5, "x", 1), ("a", "some words here", 6, "y", 2), (None, "some words here", 7, "z", 3), ("c", None, 8, "w", 4)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _row int, fp string, node int")
+    out = S.simhash_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [rows[1], rows[3]]
+
+
+def test_query_against_all_pairs(spark):
+    found = S.op2_simhash_dedup(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    links, comp = brute([tuple(r) for r in docs])
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert dict(found.dtypes) == {"doc_id": "bigint", "class_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"}
+    assert set(got) == set(links) and all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.9 * sum(links.values()) and all(r["n_links"] <= links[i] for i, r in got.items())
+    assert sum(r["component_id"] == comp[i] for i, r in got.items()) >= 0.95 * len(got)
