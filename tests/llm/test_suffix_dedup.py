@@ -58,11 +58,38 @@ def test_very_long_text_and_empty_table(spark):
     assert removed_passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_positions_sample_every_window():
-    buf = np.frombuffer("".join(made()).encode(), np.uint8)
-    end = np.full(len(buf), len(buf))
-    cls, start, n = S.anchors(buf, end)
-    assert start[0] == 0 and (start[1:] == start[:-1] + n[:-1]).all() and start[-1] + n[-1] == len(buf) - 49
+def test_cover_holds_every_difference():
+    assert {(a - b) % S.PERIOD for a in S.COVER for b in S.COVER} == set(range(S.PERIOD))
+    lengths = np.array([0, 49, 50, 51, 80, 200, 3])
+    begin = np.cumsum(lengths) - lengths
+    doc, place = S.cover_sample(begin, lengths)
+    want = [(d, b + p) for d, (b, n) in enumerate(zip(begin, lengths)) if n >= 50 for p in range(n - 19) if p % 31 in S.COVER]
+    assert list(zip(doc.tolist(), place.tolist())) == want
+    # any two passages have sampled grams at one distance
+    places = {d: {p - begin[d] for e, p in want if e == d} for d in range(len(lengths))}
+    for i in range(31):
+        for j in range(200 - 49):
+            assert any(i + d in places[4] and j + d in places[5] for d in range(31))
+
+
+@pytest.mark.parametrize("few", [0, 3, 128])
+def test_pairs_and_order_agree_with_all_comparisons(monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few)
+    monkeypatch.setattr(S, "SORTED", 31 * 7)
+    rng = random.Random(few)
+    rows = []
+    for _ in range(120):
+        gram = rng.choice([b"g" * 20, b"h" * 20])
+        left, right = (bytes(rng.choice(b"ab") if rng.random() < 0.03 else 97 for _ in range(rng.randint(15, 30))) for _ in range(2))
+        rows.append((rng.choice([1, 1, 2]), rng.randint(0, 9), left, gram, right))
+    n = np.array([len(x) + len(y) - 29 for _, _, x, _, y in rows])
+    text = [x + gram + y for _, _, x, gram, y in rows]
+    size = np.array([len(t) for t in text])
+    got = S.repeated(np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), n, np.array([len(r[2]) for r in rows]), np.frombuffer(b"".join(text), np.uint8), np.cumsum(size) - size)
+    seen = [(r[0], r[1], len(r[2]) - k, t[k : k + 50]) for r, t, m in zip(rows, text, n) for k in range(m)]
+    want = [any(s[0] == r[0] and s[1] < r[1] and s[2:] == (len(r[2]) - k, t[k : k + 50]) for s in seen) for r, t, m in zip(rows, text, n) for k in range(m)]
+    assert [bool(x >> k & 1) for x, m in zip(got.tolist(), n) for k in range(m)] == want
+    assert any(want) and not all(want)
 
 
 def test_only_whole_characters_stay():
@@ -82,3 +109,10 @@ def test_stage(spark):
     assert set(got) == {r[0] for r in rows} - gone and got[800] is None
     assert all(got[r[0]] == r[1] for r in rows if r[0] in got and want[r[0]] == 0)
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)
+
+
+def test_query_against_brute_force(spark):
+    found = S.op8_suffix_dedup(spark, "/root/testdata/sf0.001")
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert dict(found.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
+    assert sorted(map(tuple, found.collect()), key=str) == brute([(i, i, t) for i, t in docs])
