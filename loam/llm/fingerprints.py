@@ -3,37 +3,35 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
 
 #: Bytes of a feature, neighbours among which the rarest is chosen, and how often it must be.
-WIDTH, NEIGHBOURS, POPULAR = 64, 64, 16
+WIDTH, NEIGHBOURS, POPULAR = 32, 32, 8
 #: Bits and features of a filter, and bits a feature sets in it.
 FILTER_BITS, FEATURES, HASHES = 2048, 160, 5
-#: Entropy of a window of plain prose, its spread, and the least that makes a feature.
-TYPICAL, SPREAD, LOW = 3.75, 0.16, 2.0
+#: Entropy of a window of plain prose, its spread, and the least below which a window is taken only for want of others.
+TYPICAL, SPREAD, LOW = 3.5, 0.23, 2.0
 SLICE, UNIT = 1 << 17, 1024
-#: Texts under this many bytes have all windows of BRIEF bytes for features, as there is little to choose from.
-SHORT, BRIEF = 256, 16
+#: Rows sampled a part, about, to find the bounds of parts.
+SAMPLED = 50
 SHIFTS = np.arange(HASHES, dtype=np.uint64) * np.uint64(11)
-
-_rng = np.random.default_rng(64)
-BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-FACTOR = np.uint64(int(_rng.integers(0, 1 << 63)) * 2 + 1)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     c = np.arange(1, WIDTH + 1)
     g = np.r_[0, np.rint(UNIT * c * np.log2(c))].astype(np.int32)
-    entropy = 6 - (np.arange((g[-1] >> 9) + 1) * 512 + 256) / (WIDTH * UNIT)
+    entropy = np.log2(WIDTH) - (np.arange((g[-1] >> 9) + 1) * 512 + 256) / (WIDTH * UNIT)
     # a level of entropy is rarer the further it is from what prose has; windows of very low entropy say little
     far = np.where(entropy < LOW, -1.0, np.abs(entropy - TYPICAL) / SPREAD)
     rank = np.empty(len(far), np.uint32)
@@ -71,15 +69,36 @@ def rarity(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen(key: np.ndarray) -> np.ndarray:
-    """Positions whose key is least, the leftmost of equals, in at least POPULAR of the runs of NEIGHBOURS positions."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def feature_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits of each window of WIDTH bytes."""
+    word = np.ndarray((max(len(buf) - 7, 0),), "<u8", buf, 0, (1,))
+    out = np.zeros(len(at), np.uint64)
+    for k in range(0, WIDTH, 8):
+        out = mixed(out ^ word[at + k]) + np.uint64(k)
+    return out
+
+
+def least_of_runs(buf: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that are least in some of the runs of NEIGHBOURS positions, and of how many runs in a row they are.
+
+    Positions compare by key, then by a hash of the bytes there, then the leftmost is less; runs of NONE alone have none.
+    """
+    word = np.ndarray((max(len(buf) - 7, 0),), "<u8", buf, 0, (1,))
     found, last = [], (-1, 0)
     for a in range(0, len(key) - NEIGHBOURS + 1, SLICE):
-        part = key[a : a + SLICE + NEIGHBOURS - 1].astype(np.uint64) << np.uint64(18) | np.arange(min(SLICE + NEIGHBOURS - 1, len(key) - a), dtype=np.uint64)
-        for s in (1, 2, 4, 8, 16, 32):
+        b = min(a + SLICE + NEIGHBOURS - 1, len(key))
+        part = np.minimum(key[a:b], np.uint32(0xFFFFFF)).astype(np.uint64) << np.uint64(40)
+        part |= word[a:b] * ODD >> np.uint64(42) << np.uint64(18) | np.arange(b - a, dtype=np.uint64)
+        for s in (1, 2, 4, 8, 16):
             part = np.minimum(part[:-s], part[s:])
         at = (part & np.uint64(0x3FFFF)).astype(np.int64) + a
-        at = at[part >> np.uint64(18) != np.uint64(NONE)]
+        at = at[part >> np.uint64(40) != np.uint64(0xFFFFFF)]
         if len(at):
             new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             count = np.diff(np.r_[new, len(at)])
@@ -93,39 +112,22 @@ def chosen(key: np.ndarray) -> np.ndarray:
     if last[0] >= 0:
         found.append((np.array([last[0]]), np.array([last[1]])))
     if not found:
-        return np.zeros(0, np.int64)
-    at, count = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    return at[count >= POPULAR]
-
-
-def feature_hashes(buf: np.ndarray, at: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    out = BYTE[buf[at]]
-    for k in range(1, width):
-        out = out * FACTOR + BYTE[buf[at + k]]
-    out = (out ^ (out >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return out ^ (out >> np.uint64(29))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def brief_features(buf: np.ndarray) -> np.ndarray:
-    """Distinct features of BRIEF bytes in their order; slices keep what is held at once small."""
-    out = []
-    for a in range(0, len(buf) - BRIEF + 1, SLICE):
-        part = feature_hashes(buf, np.arange(a, min(a + SLICE, len(buf) - BRIEF + 1)), BRIEF)
-        out.append(part[np.sort(np.unique(part, return_index=True)[1])])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def chosen(buf: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features: positions, and hashes of the windows there, that are least in at least POPULAR runs.
 
-
-def with_stretches(text: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A text's features, with those of BRIEF bytes where SHORT bytes or more repeat so soon that no window is chosen."""
-    bounds = np.r_[0, at + WIDTH], np.r_[at, len(text)]
-    gaps = np.flatnonzero(bounds[1] - bounds[0] >= SHORT)
-    if not len(gaps):
-        return hashes
-    out, last = [], 0
-    for k in gaps:
-        out += [hashes[last:k], brief_features(text[bounds[0][k] : bounds[1][k]])]
-        last = k
-    return np.concatenate([*out, hashes[last:]])
+    Equal windows that are least one after the other, as in a stretch that repeats, count together and are one feature.
+    """
+    at, count = least_of_runs(buf, key)
+    hashes = feature_hashes(buf, at)
+    if not len(at):
+        return at, hashes
+    first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (np.diff(at) > NEIGHBOURS)])
+    popular = first[np.add.reduceat(count, first) >= POPULAR]
+    return at[popular], hashes[popular]
 
 
 def filters_of(hashes: np.ndarray) -> np.ndarray:
@@ -141,34 +143,22 @@ def filters_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def digests(texts: list[bytes]) -> list[np.ndarray]:
-    """Filters of each text. One of under BRIEF bytes is one feature as a whole; an empty one has none.
-
-    Stretches of SHORT bytes or more without a chosen window, as periodic ones are, have their windows of BRIEF bytes.
-    """
+    """Filters of each text. A text of under WIDTH bytes is one feature as a whole; an empty one has none."""
     gap = np.full(WIDTH, 0xFF, np.uint8).tobytes()  # no byte of UTF-8, so no window's counts reach from text to text
     buf = np.frombuffer(gap + b"".join(t + gap for t in texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(lengths + WIDTH) - lengths
     key = rarity(buf)
     valid = np.zeros(len(key) + 1, np.int32)
-    long = lengths >= SHORT
+    long = lengths >= WIDTH
     np.add.at(valid, begin[long], 1)
     np.add.at(valid, (begin + lengths - WIDTH + 1)[long], -1)
     key[np.cumsum(valid[:-1]) == 0] = NONE
-    at = chosen(key)
-    hashes = feature_hashes(buf, at) if len(at) else np.zeros(0, np.uint64)
+    at, hashes = chosen(buf, key)
     cuts = np.searchsorted(at, begin)
     ends = np.searchsorted(at, begin + lengths)
-    out = []
-    for k, text in enumerate(texts):
-        if long[k]:
-            own = slice(cuts[k], ends[k])
-            out.append(filters_of(with_stretches(np.frombuffer(text, np.uint8), at[own] - begin[k], hashes[own])))
-        elif lengths[k] >= BRIEF:
-            out.append(filters_of(feature_hashes(np.frombuffer(text, np.uint8), np.arange(lengths[k] - BRIEF + 1), BRIEF)))
-        else:
-            out.append(filters_of(np.frombuffer(hashlib.sha256(text).digest()[:8], np.uint64) if text else np.zeros(0, np.uint64)))
-    return out
+    whole = [np.frombuffer(hashlib.sha256(t).digest()[:8] if t else b"", np.uint64) if not x else None for t, x in zip(texts, long)]
+    return [filters_of(hashes[cuts[k] : ends[k]] if w is None else w) for k, w in enumerate(whole)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -193,26 +183,56 @@ def written_out(filters: np.ndarray) -> str:
     return ",".join(base64.b64encode(f.tobytes()).decode() for f in filters)
 
 
+def bounds_of(rows: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """At most parts - 1 triples (key, h, r) that cut the rows, sorted by them, into parts of about as many bytes.
+
+    They come from a sample of about SAMPLED rows a part, drawn in proportion to their bytes, whatever the size of the table.
+    """
+    weight = F.col("n") + 64
+    total = rows.agg(F.sum(weight)).first()[0]
+    if parts < 2 or not total:
+        return []
+    share = weight * (SAMPLED * parts / total)
+    drawn = rows.select("key", "h", "r", share.alias("w")).where(F.rand(9) < F.col("w")).select("key", "h", "r", F.greatest("w", F.lit(1.0)))
+    sample = sorted(tuple(r) for r in drawn.collect())
+    filled = np.cumsum([w for *_, w in sample])
+    places = np.searchsorted(filled, filled[-1] * np.arange(1, parts) / parts) if sample else []
+    return sorted({sample[k][:3] for k in places})
+
+
+def part_of(bounds: list[tuple[int, int, int]]):
+    """A function of columns (key, h, r): how many bounds aren't above them."""
+    keys = np.array([b[0] for b in bounds], np.int64)
+
+    @F.pandas_udf("int")
+    def part(key: pd.Series, h: pd.Series, r: pd.Series) -> pd.Series:
+        low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        for i in np.flatnonzero(low < high):  # rows of a bound's own key
+            low[i] = bisect.bisect_right(bounds, (key.iloc[i], h.iloc[i], r.iloc[i]))
+        return pd.Series(low).astype("int32")
+
+    return part
+
+
 def with_neighbours(docs: DataFrame, parts: int) -> DataFrame:
-    """docs (doc_id, text) partitioned by `part`, in each sorted by (part, head, key, text), so that a row's successor follows it.
+    """docs (doc_id, text) partitioned by `part`, in each sorted by (part, head, key, h), so that a row's successor follows it.
 
-    Parts are ranges of doc_id; each also holds, as rows with head set, the first rows of the part after it (of the first
-    part for the last). One bound and one least id a part pass through the driver; texts are moved once.
+    Rows ascend by doc_id (key; null is last), those of equal id by h, a hash of their text; rows equal in both are alike,
+    and a random r lets parts divide even them. Each part also holds, as a row with head set, the first row of the part after
+    it (of the first part for the last). One least row a part passes through the driver, without its text; texts are moved once.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("key"))
-    ids = docs.select(F.col("key").cast("double").alias("at"))
-    found = ids.approxQuantile("at", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    if found:
-        cut = Bucketizer(splits=[-float("inf"), *sorted(set(found)), float("inf")], inputCol="at", outputCol="p")
-        place = cut.transform(docs.withColumn("at", F.col("key").cast("double"))).withColumn("part", F.col("p").cast("int")).drop("at", "p")
-    else:
-        place = docs.withColumn("part", F.lit(0))
-    least = sorted((r["part"], r["k"]) for r in place.groupBy("part").agg(F.min("key").alias("k")).collect())
-    heads = [(k, least[i - 1][0]) for i, (_, k) in enumerate(least)]
-    heads = docs.sparkSession.createDataFrame(heads, "key long, part int")
-    more = docs.join(F.broadcast(heads), "key").select("doc_id", "text", "key", "part", F.lit(True).alias("head"))
-    both = place.withColumn("head", F.lit(False)).select("doc_id", "text", "key", "part", "head").unionByName(more)
-    return both.repartitionById(parts, "part").sortWithinPartitions("part", "head", "key", "text", "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.xxhash64(text).alias("h"))
+    keyed = docs.withColumn("r", F.floor(F.rand(5) * (1 << 30)).cast("long"))
+    bounds = bounds_of(keyed.select("key", "h", "r", F.octet_length("text").alias("n")), parts)
+    place = keyed.withColumn("part", part_of(bounds)("key", "h", "r") if bounds else F.lit(0))
+    least = sorted((r["part"], *r["m"]) for r in place.groupBy("part").agg(F.min(F.struct("key", "h")).alias("m")).collect())
+    heads = [(k, h, least[i - 1][0]) for i, (_, k, h) in enumerate(least)]
+    heads = docs.sparkSession.createDataFrame(heads, "key long, h long, part int")
+    more = docs.join(F.broadcast(heads), ["key", "h"]).groupBy("part", "key", "h").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
+    names = ["doc_id", "text", "key", "h", "part"]
+    both = place.select(*names, F.lit(False).alias("head")).unionByName(more.select(*names, F.lit(True).alias("head")))
+    return both.repartitionById(parts, "part").sortWithinPartitions("part", "head", "key", "h")
 
 
 def fingerprinted(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -220,8 +240,9 @@ def fingerprinted(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     A fingerprint is a chain of Bloom filters in base64. The edited text has its last half (by code points, rounded
     down) replaced by the first as many of the next document's; after the last comes the first. Ids ascend, a null id is
-    last, rows of equal id go by text. Null texts are empty: no filter, like only what has none either. A single
-    document is its own successor. An empty table gives an empty one.
+    last, rows of equal id go by a hash of their text (xxhash64), repeated rows follow each other. Null texts are empty: no
+    filter, like only what has none either. Texts of any length are read whole, each within one task. A single document is
+    its own successor. Other columns, whatever their names, are left. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -275,5 +296,9 @@ def fingerprinted(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their fingerprints and those of their edited texts."""
+    """All documents with their fingerprints, those of their edited texts, and both likenesses, as fingerprinted has it.
+
+    Null and empty texts have an empty fingerprint; texts of any length are read whole; ties of doc_id go by the text's
+    hash; repeated rows are fingerprinted each; other columns are left; an empty table gives no rows.
+    """
     return fingerprinted(table(spark, sf_dir, "documents"))
