@@ -18,28 +18,37 @@ from ._shared import checkpointed, table
 NUMPY_LIMIT = 10**9
 
 
+def rise(x: float, d: float) -> float:
+    """lgamma(x + d) - lgamma(x), for large x without the loss that the difference of two large numbers brings."""
+    if min(x, x + d) < 1e6:
+        return math.lgamma(x + d) - math.lgamma(x)
+    return d * math.log(x) + (x + d - 0.5) * math.log1p(d / x) - d + (1 / (x + d) - 1 / x) / 12
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Number of good ones among `draws` drawn without return. Past numpy's limit by ratio of uniforms with log gammas."""
+    """Number of good ones among `draws` drawn without return. Past numpy's limit by ratio of uniforms, with
+    probabilities relative to the mode's that are good to about 1e-8."""
     if draws == 0 or good == 0:
         return 0
     if bad == 0:
         return draws
     if good + bad < NUMPY_LIMIT:
         return int(rng.hypergeometric(good, bad, draws))
-    n, lg = good + bad, math.lgamma
+    n = good + bad
     mean = draws * good / n
     sd = math.sqrt(max(mean * bad / n * (n - draws) / (n - 1), 1e-12) + 0.5)
     low, high = max(0, draws - bad), min(draws, good)
     mode = min(max(int((draws + 1) * (good + 1) / (n + 2)), low), high)
 
     def log_p(k: int) -> float:
-        return -(lg(k + 1) + lg(good - k + 1) + lg(draws - k + 1) + lg(bad - draws + k + 1))
+        d = k - mode
+        return -(rise(mode + 1, d) + rise(good - mode + 1, -d) + rise(draws - mode + 1, -d) + rise(bad - draws + mode + 1, d))
 
-    top, width = log_p(mode), 1.7155277699214135 * sd + 0.8989161620588988
+    width = 1.7155277699214135 * sd + 0.8989161620588988
     while True:
         u, v = rng.random(), rng.random()
         k = math.floor(mean + 0.5 + width * (v - 0.5) / max(u, 1e-300))
-        if low <= k <= high and 2 * math.log(max(u, 1e-300)) <= log_p(k) - top:
+        if low <= k <= high and 2 * math.log(max(u, 1e-300)) <= log_p(k):
             return k
 
 
@@ -119,7 +128,12 @@ def hypergeometric_shards(df: DataFrame, n_shards: int, *, seed: int = 20240611,
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 39 under the law `rows`. A null text has size 16 and crc32 0."""
+    """All documents in shards 0 to 39 under the law `rows`: doc_id, size, text_crc32, law, shard, slot, grown_shard (null).
+
+    A null or empty text has size 16 and crc32 0; long texts count whole, though only their size and sum are shuffled;
+    repeated rows, equal sums, and null or equal ids are rows like any other; other columns are left; an empty table gives
+    no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"), F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"))
     out = hypergeometric_shards(docs.select("doc_id", (F.col("_bytes") + 16).alias("size"), "text_crc32"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
