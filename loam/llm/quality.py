@@ -20,7 +20,7 @@ HASHED, BINS, FACTORS = 1 << 15, 10, 8
 SAMPLE = 6000
 #: Passes over the sample, and batches at least, which make more passes of a small one.
 EPOCHS, UPDATES, BATCH, RATE, DECAY = 12, 600, 64, 0.05, 1e-5
-STATISTICS = 14
+STATISTICS = 16
 
 _lower, _upper, _digit, _space = (np.zeros(256, bool) for _ in range(4))
 _lower[97:123] = _lower[128:] = True
@@ -33,8 +33,9 @@ _other = ~(_lower | _upper | _digit | _space | _mark)
 CLASSES = np.stack([_lower, _upper, _digit, _space, _mark, _other]).astype(np.int64)
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed words of a whole text, their weights (of length 1 together), and its statistics."""
+def features(text: str, n_chars: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed words of a whole text, their weights (of length 1 together), its statistics, and those of its metadata: the
+    length that its row states (null or none: the text's own), and by how much it is another than the text's."""
     words = Counter(text.split())
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     per = CLASSES @ np.bincount(raw, minlength=256)
@@ -45,6 +46,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     capital = sum(c for w, c in words.items() if w.isupper() and len(w) > 1)
     odd = sum(c for w, c in words.items() if not w[-1].isalnum() and w[-1] not in ".,;:?!)\"'")
     stats = [np.log1p(len(raw)), np.log1p(tokens), *(per / n), bars / tokens, len(words) / tokens, len(set(lines)) / max(len(lines), 1), top / tokens, capital / tokens, odd / tokens]
+    stated = len(text) if n_chars is None else max(int(n_chars), 0)
+    stats += [np.log1p(stated), abs(np.log1p(stated) - np.log1p(len(text)))]
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), np.array(stats)
     at = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.int64, len(words)) % HASHED
@@ -102,9 +105,9 @@ class Model:
                 gb += db * db
                 self.bias -= rate * db / gb**0.5
 
-    def score(self, text: str) -> float:
+    def score(self, text: str, n_chars: int | None = None) -> float:
         """In time linear in the features: the pairs' sum is half of the squared sum less the sum of squares."""
-        cols, x = self._join(*features(text))
+        cols, x = self._join(*features(text, n_chars))
         vx = self.v[cols] * x[:, None]
         z = self.bias + float(self.w[cols] @ x) + 0.5 * float((vx.sum(axis=0) ** 2 - (vx * vx).sum(axis=0)).sum())
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
@@ -118,51 +121,72 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most `sample` labelled rows whose crc32(doc_id) mod 3 isn't 1, of least md5 of the id.
 
     Their features, not their texts, come to the driver. Labels that are null or repeat an id (the least counts) or have
-    no document are left out; without labels of both kinds every score is that of the bias, 0.5.
+    no document are left out; of documents that repeat an id the one of least text hash counts, so no more than `sample` rows
+    come; null texts are empty, long ones count whole; without labels of both kinds every score is that of the bias, 0.5.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(remainder(F.col("doc_id")) != 1)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     # at most `sample` pairs of numbers: a bound that doesn't depend on the data
-    rows = docs.select("doc_id", "text").join(F.broadcast(written(known)), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), stated(docs).alias("n_chars"))
+    rows = docs.join(F.broadcast(written(known)), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "text", "n_chars")).alias("m")).select("doc_id", "quality", "m.text", "m.n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t.as_py() or "") for t in b.column("text")]
+            found = [features(t.as_py(), n.as_py()) for t, n in zip(b.column("text"), b.column("n_chars"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([f[0].tolist() for f in found], pa.list_(pa.int32())), pa.array([f[1].tolist() for f in found], pa.list_(pa.float32())), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64()))], names=["doc_id", "quality", "at", "x", "stats"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    got = rows.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, at array<int>, x array<float>, stats array<double>")
-    got = got.orderBy("doc_id", F.xxhash64("at", "x")).toArrow()
+    got = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, at array<int>, x array<float>, stats array<double>")
+    got = got.orderBy("doc_id").toArrow()
     offsets = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (got.column("at"), got.column("x"), got.column("stats"))]
     rows_ = [tuple(o[i].values.to_numpy(zero_copy_only=False) for o in offsets) for i in range(got.num_rows)]
     return Model(rows_, np.array(got.column("quality").to_pylist(), int))
 
 
-def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs (with a column text) and the model's score of each whole text; a null text is empty. A column `name` is replaced."""
-    boxed = docs.drop(name).select(F.struct("*").alias("_row"))
+def stated(docs: DataFrame) -> F.Column:
+    """The length that a row states, if it does."""
+    return F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+
+
+def with_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """_row, docs' columns in a struct, and _score, the model's score of each whole text; a null text is empty."""
+    boxed = docs.select(F.struct("*").alias("_row"), stated(docs).alias("_n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).field("text")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())], names=["_row", "_score"])
+            scores = [model.score(t.as_py() or "", n.as_py()) for t, n in zip(b.column(0).field("text"), b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["_row", "_score"])
 
-    out = boxed.mapInArrow(run, T.StructType([*boxed.schema.fields, T.StructField("_score", T.DoubleType())]))
-    return out.select("_row.*", F.col("_score").alias(name))
+    return boxed.mapInArrow(run, T.StructType([boxed.schema["_row"], T.StructField("_score", T.DoubleType())]))
+
+
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs (with a column text) and the model's score of each whole text, in a column that replaces one of its name."""
+    return with_scores(docs.drop(name), model).select("_row.*", F.col("_score").alias(name))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their score."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fitted(docs, table(spark, sf_dir, "labels"))
-    out = scored(docs, model).drop("text")
+    """All documents with doc_id, held_out, score and predicted.
+
+    Null and empty texts are scored by their statistics; long ones count whole; repeated rows have one score; a null doc_id
+    isn't held out; columns other than doc_id, text and n_chars are left; an empty table gives no rows, and without labels
+    of both kinds every score is 0.5.
+    """
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", stated(docs).alias("n_chars"))
+    out = scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that a model fitted on the labels of sf_dir rejects."""
+    """docs without those that a model fitted on them and the labels of sf_dir rejects (score under 0.5), all their columns as
+    they are, whatever their names.
+
+    Null, empty and long texts, repeated rows, missing labels and an empty docs as in op4_quality; a tie at 0.5 stays.
+    """
     model = fitted(docs, table(spark, sf_dir, "labels"))
-    name = "_quality_score"
-    return scored(docs, model, name).where(F.col(name) >= 0.5).drop(name)
+    return with_scores(docs, model).where(F.col("_score") >= 0.5).select("_row.*")

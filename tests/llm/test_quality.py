@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from loam.llm import quality as Q
-from loam.llm.quality import Model, features, fitted, quality_stage, scored
+from loam.llm.quality import Model, features, fitted, op4_quality, quality_stage, scored
 
 DIR = "/root/testdata/sf0.01"
 
@@ -62,3 +62,81 @@ def test_stage_keeps_columns_and_clean_rows(spark):
     kept = {r["quality"]: r["count"] for r in kept}
     all_ = {r["quality"]: r["count"] for r in docs.join(labels, "doc_id").groupBy("quality").count().collect()}
     assert kept[1] >= 0.98 * all_[1] and kept.get(0, 0) <= 0.1 * all_[0]
+
+
+def plain_training(rows, labels, seed=4):
+    """The same descent with loops over rows, features and all pairs of them."""
+    blank = Model(rows, np.zeros(len(rows)))
+    data = [tuple(map(list, blank._join(*r))) for r in rows]
+    rng = np.random.default_rng(seed)
+    v = {c: x.astype(np.float64) for c, x in enumerate(rng.normal(0, 0.01, (Q.HASHED + Q.STATISTICS * Q.BINS, Q.FACTORS)).astype(np.float32))}
+    w, gw, gv, gb = {}, {}, {}, 1e-6
+    bias = float(np.log(np.mean(labels) / (1 - np.mean(labels))))
+    epochs = max(Q.EPOCHS, -(-Q.UPDATES * Q.BATCH // len(rows)))
+    for epoch in range(epochs):
+        order, rate = rng.permutation(len(rows)), Q.RATE / (1 + 3 * epoch / epochs)
+        for k in range(0, len(order), Q.BATCH):
+            some, dw, dv, db = order[k : k + Q.BATCH], {}, {}, 0.0
+            for i in some:
+                cols, x = data[i]
+                z = bias + sum(w.get(c, 0) * a for c, a in zip(cols, x))
+                z += sum(x[a] * x[b] * float(v[cols[a]] @ v[cols[b]]) for a in range(len(cols)) for b in range(a))
+                d = (1 / (1 + np.exp(-z)) - labels[i]) / len(some)
+                db += d
+                for a, c in enumerate(cols):
+                    dw[c] = dw.get(c, 0) + d * x[a]
+                    dv[c] = dv.get(c, 0) + d * x[a] * sum((x[b] * v[cols[b]] for b in range(len(cols)) if b != a), np.zeros(Q.FACTORS))
+            for c in dw:
+                a, b = dw[c] + Q.DECAY * w.get(c, 0), dv[c] + Q.DECAY * v[c]
+                gw[c], gv[c] = gw.get(c, 1e-6) + a * a, gv.get(c, 1e-6) + b * b
+                w[c], v[c] = w.get(c, 0) - rate * a / gw[c] ** 0.5, v[c] - rate * b / np.sqrt(gv[c])
+            gb += db * db
+            bias -= rate * db / gb**0.5
+    return bias, w, v
+
+
+def test_training_against_a_plain_version(monkeypatch):
+    for name, value in (("EPOCHS", 2), ("UPDATES", 4), ("BATCH", 4), ("FACTORS", 3)):
+        monkeypatch.setattr(Q, name, value)
+    rows = [features(t, n) for t, n in (("good words of prose here", None), ("JUNK!! JUNK!! ###", 3), ("more good words", None), ("|| x || y ||", 90), ("prose of words", None), ("## buy ##", None), ("", None))]
+    labels = np.array([1, 0, 1, 0, 1, 0, 0])
+    model = Model(rows, labels)
+    bias, w, v = plain_training(rows, labels)
+    assert abs(model.bias - bias) < 1e-4
+    assert max(abs(model.w[c] - x) for c, x in w.items()) < 1e-4
+    assert max(np.abs(model.v[c] - v[c]).max() for c in w) < 1e-3
+
+
+def test_query(spark):
+    found = op4_quality(spark, DIR)
+    assert dict(found.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    docs, labels = (spark.read.parquet(f"{DIR}/{n}.parquet") for n in ("documents", "labels"))
+    model = fitted(docs, labels)
+    want = {r["doc_id"]: model.score(r["text"] or "", r["n_chars"]) for r in docs.collect()}
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert set(got) == set(want) and all(abs(got[i]["score"] - s) < 1e-12 for i, s in want.items())
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.5) for i, r in got.items())
+
+
+def test_a_repeated_id_brings_one_row(spark):
+    docs = spark.createDataFrame([(2, f"text {k}") for k in range(50)] + [(3, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+
+    class Spy(Model):
+        def __init__(self, rows, labels):
+            seen.append(len(rows))
+            super().__init__(rows, labels)
+
+    old, Q.Model = Q.Model, Spy
+    try:
+        fitted(docs, labels)
+    finally:
+        Q.Model = old
+    assert seen[0] <= 2
+
+
+def test_stage_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(50).selectExpr("*", "doc_id AS _row", "'s' AS _score", "1 AS _quality_score", "2 AS _n")
+    out = quality_stage(spark, docs, DIR)
+    assert out.columns == docs.columns and {(r["_row"], r["_score"], r["_quality_score"]) for r in out.collect()} <= {(r["doc_id"], "s", 1) for r in docs.collect()}
