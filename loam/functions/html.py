@@ -124,6 +124,48 @@ def character_links(links: Column, most: int = 10) -> Column:
     return F.slice(F.filter(named, lambda x, i: F.array_position(titles, x["title"]) == i + 1), 1, most)
 
 
+class Strict(HTMLParser):
+    """The smallest div or dl around the first link to a list of characters, and the links with titles in it."""
+
+    def __init__(self, html: str, mark: str = r"/w/.+/등장인물"):
+        super().__init__(convert_charrefs=True)
+        self.mark, self.open, self.found, self.box, self.order = re.compile(mark), [], [], None, 0
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
+        a = dict(attrs)
+        self.order += 1
+        self.open.append((tag, self.order))
+        if tag == "a" and a.get("href"):
+            boxes = [n for t, n in self.open if t in ("div", "dl")]
+            if self.box is None and self.mark.search(unquote(a["href"])):
+                self.box = boxes[-1] if boxes else 0
+            if a.get("title") is not None and re.fullmatch(r"/w/[^/]+", a["href"]):
+                self.found.append((a["title"].strip(), a["href"], set(boxes)))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def links(self) -> list[tuple[str, str]]:
+        """(title, href), the first of each title."""
+        out: dict[str, str] = {}
+        for title, href, boxes in self.found if self.box else []:
+            if self.box in boxes:
+                out.setdefault(title, href)
+        return list(out.items())
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("href", T.StringType())])))
+def strict_character_links(html: pd.Series) -> pd.Series:
+    """Titles and addresses of the links beside the first one that leads to a list of characters; none without such a link."""
+    return html.map(lambda h: [{"title": t, "href": x} for t, x in Strict(h or "").links()])
+
+
 def page_kind(url: Column, headings: Column, character_words: tuple[str, ...] = ("등장인물", "캐릭터")) -> Column:
     """"characters" if the address or a heading names a list of characters, "list" with many headings, else "page"."""
     found = F.lit(False)

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import strip
 from .vector import fake_embedder, passage_input, query_input
 
 
@@ -66,6 +67,31 @@ def model(name: str = "first-sentences") -> Callable[[Column], Column]:
     return MODELS[name]()
 
 
+def section_summary(c: Column, name: str = "first-sentences") -> Column:
+    """The summary of a section: of its first 3,000 signs, at most 280 signs."""
+    return strip(F.substring(summarised(c, name)["summary"], 1, 280))
+
+
+def document_summary(sections: Column, name: str = "first-sentences", order: tuple[str, ...] = ("본문", "줄거리", "설정", "등장인물"), most: int = 3000) -> Column:
+    """text and bullets of a document's summary from a map of section texts: those named, in their order, each behind its
+    name; without any of them all sections by name. 280 signs and five bullets of 120 at most; null without text."""
+    shown = lambda k, v: F.concat(F.lit("["), k, F.lit("] "), v)
+    named = F.filter(F.array(*[F.when(F.element_at(sections, F.lit(k)) != "", shown(F.lit(k), F.element_at(sections, F.lit(k)))) for k in order]), lambda x: x.isNotNull())
+    others = F.transform(F.array_sort(F.filter(F.map_entries(sections), lambda e: F.coalesce(e["value"], F.lit("")) != "")), lambda e: shown(e["key"], e["value"]))
+    whole = F.array_join(F.when(F.size(named) > 0, named).otherwise(others), "\n\n")
+    s = summarised(whole, name, most)
+    bullets = F.slice(F.filter(F.transform(s["bullets"], lambda b: strip(F.substring(b, 1, 120))), lambda b: b != ""), 1, 5)
+    return F.when(whole != "", F.struct(strip(F.substring(s["summary"], 1, 280)).alias("text"), bullets.alias("bullets")))
+
+
+def two_bullets(c: Column, name: str = "first-sentences", most: int = 1200) -> Column:
+    """Two bullets from a text's first `most` signs, the first standing in for a second; fixed ones for a blank text."""
+    found = F.slice(F.filter(F.transform(model(name)(F.substring(strip(c), 1, most))["bullets"], strip), lambda b: b != ""), 1, 2)
+    two = F.when(F.size(found) == 1, F.concat(found, found)).otherwise(found)
+    blank = F.coalesce(strip(c), F.lit("")) == ""
+    return F.when(blank, F.array(F.lit("• 빈 입력입니다"), F.lit("• 내용을 제공해 주세요"))).otherwise(F.transform(two, lambda b: F.concat(F.lit("• "), b)))
+
+
 def summarised(c: Column, name: str = "first-sentences", most: int = 3000) -> Column:
     """summary, bullets and model of a text cut at `most` signs; without a summary the first bullet stands in."""
     out = model(name)(F.substring(c, 1, most))

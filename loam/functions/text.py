@@ -37,6 +37,12 @@ def fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _matches(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def best_fuzzy(a: pd.Series, many: pd.Series) -> pd.Series:
+    """The best of fuzzy(a, b) over a list; 0 without any."""
+    return pd.Series([None if x is None else max((_matches(x, y) for y in (() if ys is None else ys) if y is not None), default=0.0) for x, ys in zip(a, many)], dtype="float64")
+
+
 #: White space of any kind.
 SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from loam.functions.text import strip
 
+from .upsert import orderable
+
 SECTION_ORDER = tuple("요약 본문 줄거리 설정 등장인물 평가 에피소드 방영".split())
 #: Other names under which a section goes.
 SECTION_NAMES = {other: name for name, others in (("방영", ["방영 정보"]), ("평가", ["반응"]), ("설정", ["세계관"]), ("줄거리", ["시놉시스", "개요"]), ("등장인물", ["인물", "캐릭터"])) for other in others}
@@ -30,6 +32,30 @@ def section_of(parent: Column, names: dict[str, str] = SECTION_NAMES, default: s
     return F.coalesce(out, F.lit(default))
 
 
+#: Section names of an import's records, and the five sections they go to.
+STANDARD_NAMES = {"개요": "요약", "소개": "요약", "시놉시스": "본문", "스토리": "본문", "줄거리": "본문", "인물": "등장인물", "캐릭터": "등장인물", "세계관": "설정", "반응": "평가"}
+STANDARD = ("요약", "본문", "등장인물", "설정", "평가")
+
+
+def section_by_title(title: Column, parent: Column, names: dict[str, str], default: str = "본문") -> Column:
+    """section and title of a page: with a parent, a title that is one of the names gives the section and the parent the title."""
+    under = F.coalesce(parent, F.lit("")) != ""
+    named = F.lit(None).cast("string")
+    for k, v in names.items():
+        named = F.when(strip(title) == k, v).otherwise(named)
+    hit = under & named.isNotNull()
+    own = F.coalesce(F.nullif(title, F.lit("")), parent, F.lit(""))
+    return F.struct(F.when(hit, named).otherwise(default).alias("section"), F.when(hit, parent).otherwise(own).alias("title"))
+
+
+def standard_section(name: Column, default: str = "본문") -> Column:
+    """One of the five standard sections, by the name's usual meaning; any other name is the body."""
+    out = F.when(name.isin(*STANDARD), name)
+    for k, v in STANDARD_NAMES.items():
+        out = out.when(name == k, v)
+    return out.otherwise(default)
+
+
 def category_of(parent: Column, title: Column) -> Column:
     both = F.concat_ws(" ", parent, title)
     return F.when(both.rlike("등장인물|캐릭터|인물"), "등장인물").when(both.rlike("설정|세계관"), "설정").otherwise("기타")
@@ -54,10 +80,10 @@ def common_lines(lines: DataFrame, group: str, least: int = 5, most: int = 80) -
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by `order`, by a minimum, which is combined before the shuffle."""
+    """The first row of each key by `order`, then by the other columns that have an order; combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
-    best = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_b")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
+    by = F.struct(*order, *orderable(df, [c for c in rest if c not in order]))
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_b")).select(*keys, *[F.col(f"_b.`{c}`").alias(c) for c in rest])
 
 
 def longest_of(df: DataFrame, group: str, length: Column, k: int, tie: str) -> DataFrame:
@@ -93,6 +119,66 @@ def flattened(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, F.col("e.key").alias("section"), F.col("e.value.text").alias("text"), section_place(F.col("e.key")).alias("section_pos"))
 
 
+#: Sections that an export keeps.
+KEPT_SECTIONS = ("요약", "본문", "줄거리", "등장인물", "설정", "평가")
+
+
+def exported(docs: DataFrame, keep: tuple[str, ...] = KEPT_SECTIONS) -> DataFrame:
+    """Rows of an export from docs (doc_id, title, seed, url, sections): the sections to keep; the summary's text is its summary.
+
+    sections: map of struct<text, summary, urls>. source_url is the record's, else the section's first, else the body's.
+    """
+    body = F.element_at("sections", F.lit("본문"))["urls"]
+    rows = docs.select("doc_id", "title", "seed", F.col("url"), body.alias("_b"), F.explode(F.map_entries("sections")).alias("e")).where(F.col("e.key").isin(*keep))
+    short = F.col("e.key") == "요약"
+    text, summary = F.col("e.value.text"), F.nullif(F.col("e.value.summary"), F.lit(""))
+    urls = F.col("e.value.urls")
+    address = first_text(F.col("url"), F.get(urls, F.lit(0)), F.get("_b", F.lit(0)))
+    return rows.select("doc_id", "title", "seed", F.col("e.key").alias("section"), F.when(~short, text).alias("text"), F.when(short, F.coalesce(summary, F.nullif(text, F.lit("")))).alias("summary"), address.alias("source_url"))
+
+
+def other_sections(docs: DataFrame, keep: tuple[str, ...] = KEPT_SECTIONS, most: int = 20) -> DataFrame:
+    """The commonest names of sections that an export leaves out, with their counts; of equal counts by name."""
+    names = docs.select(F.explode(F.map_keys("sections")).alias("section")).where(~F.col("section").isin(*keep))
+    return names.groupBy("section").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "section").limit(most)
+
+
+def matches_listed(c: Column, texts: list[str], patterns: list[str]) -> Column:
+    """Whether a chunk holds one of the texts, or something a pattern matches, in whatever case."""
+    found = F.lit(False)
+    for t in texts:
+        found = found | F.contains(F.lower(c), F.lit(t.lower()))
+    for p in patterns:
+        found = found | c.rlike(f"(?iu){p}")
+    return found
+
+
+def without_listed(chunks: DataFrame, listed: DataFrame, most: int = 10_000) -> DataFrame:
+    """Chunks (doc_id, section, pos, chunk) as sections (doc_id, section, text, n) without those that a list (kind, pattern) names.
+
+    The list is a file that people write, so it comes to the driver; one of over `most` entries is refused. Sections, and so
+    documents, of which nothing is left go.
+    """
+    rules = [tuple(r) for r in listed.select("kind", "pattern").limit(most + 1).collect()]
+    if len(rules) > most:
+        raise ValueError(f"a list of over {most} entries")
+    bad = matches_listed(F.col("chunk"), [p for k, p in rules if k == "text"], [p for k, p in rules if k == "regex"])
+    per = chunks.where(~bad).groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk"))).alias("c"))
+    return per.select("doc_id", "section", F.array_join(F.transform("c", lambda x: x["chunk"]), "\n\n").alias("text"), F.size("c").cast("long").alias("n"))
+
+
+def described(characters: DataFrame, least: int = 20) -> DataFrame:
+    """Characters (…, desc) whose description has at least `least` signs."""
+    return characters.where(F.length(strip(F.coalesce("desc", F.lit("")))) >= least)
+
+
+def promoted(pages: DataFrame, words: str = "등장인물|캐릭터|인물", other: str = "기타", to: str = "등장인물") -> DataFrame:
+    """pages (category, title, parent, ...) with those of the other category that read like characters in the characters' one."""
+    hit = (F.col("category") == other) & (F.coalesce("title", F.lit("")).rlike(words) | F.coalesce("parent", F.lit("")).rlike(words))
+    flag = F.col("is_character") if "is_character" in pages.columns else F.lit(False)
+    return pages.withColumn("is_character", hit | flag).withColumn("category", F.when(hit, to).otherwise(F.col("category")))
+
+
 def attached(left: DataFrame, right: DataFrame, key: str, item: Column, name: str) -> DataFrame:
     """left with an array of the items of right under its key, sorted; empty where there is none."""
     many = right.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias(name))

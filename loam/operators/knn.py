@@ -49,18 +49,19 @@ def block_scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.clip(s, 0, 1)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", digits: int = 6, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK, leave_out: str | None = "qid") -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", digits: int = 6, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK, leave_out: str | None = "qid", variant: str | None = None) -> DataFrame:
     """(qid, vec_id, rank, score): for each query (qid, qv) the k best vectors (vec_id, embedding) but its own.
 
     Its own is the one whose vec_id is the query's value of the column `leave_out`; None, for queries that aren't among
-    the vectors, leaves out none.
+    the vectors, leaves out none. With `variant`, the name of a column, each pair of qid and that is a query of its own, and
+    the result has the column too.
 
     Ranked by score rounded to `digits`, then vec_id. Queries and vectors go to blocks by hash of the id, their numbers
     from the counts; a pair of blocks is one task that sends back k rows a query, so what is shuffled after the products
     is queries * blocks * k rows. Null vectors and such with null or non-finite components are left out.
     """
     fine = lambda c: c.isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    q = queries.where(fine(F.col("qv"))).select(F.col("qid"), F.col("qv").cast("array<double>").alias("v"), *([F.col(leave_out).alias("own")] if leave_out else []))
+    q = queries.where(fine(F.col("qv"))).select(F.col("qid"), F.col("qv").cast("array<double>").alias("v"), *([F.col(leave_out).alias("own")] if leave_out else []), (F.col(variant).cast("long") if variant else F.lit(0).cast("long")).alias("w"))
     v = vectors.where(fine(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     n = q.agg(F.count(F.lit(1)).alias("n")).unionByName(v.agg(F.count(F.lit(1)).alias("n")))
     a, b = (max(1, -(-r["n"] // size)) for r, size in zip(n.collect(), (query_block, vector_block)))
@@ -68,8 +69,9 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
     v = v.withColumn("j", F.pmod(F.xxhash64("vec_id"), F.lit(b)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
+            of = left.column("w").to_numpy()
             qid, vid = left.column("qid").to_numpy(), right.column("vec_id").to_numpy()
             x, y = (np.stack(t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)) for t in (left, right))
             own = left.column("own").to_numpy() if leave_out else None
@@ -84,13 +86,24 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
                     out[0] += [qid[a + i]] * len(best)
                     out[1] += vid[best].tolist()
                     out[2] += row[best].tolist()
-        return pa.table({"qid": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                    out[3] += [of[a + i]] * len(best)
+        return pa.table({"qid": pa.array(out[0], pa.int64()), "w": pa.array(out[3], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    found = q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInArrow(tile, "qid long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInArrow(tile, "qid long, w long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("qid", "w").orderBy(F.col("score").desc(), "vec_id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumnRenamed("w", variant) if variant else best.drop("w")
 
 
 def search(queries: DataFrame, vectors: DataFrame, n: int = 8, where: dict | None = None, **options) -> DataFrame:
-    """top_k behind a filter; n is kept between 1 and 100."""
+    """top_k behind a filter. n is kept between 1 and 100, as a search service would: ask top_k for more."""
     return top_k(queries, filtered(vectors, where), min(max(n, 1), 100), **options)
+
+
+#: Kinds of index by name: the measure that each ranks by.
+BACKENDS = {"collection": "cosine", "flat": "l2", "products": "ip"}
+
+
+def search_in(backend: str, queries: DataFrame, vectors: DataFrame, n: int = 8, where: dict | None = None, **options) -> DataFrame:
+    """search by the measure of a backend; one that isn't known falls back on the first."""
+    return search(queries, vectors, n, where, metric=BACKENDS.get(backend, next(iter(BACKENDS.values()))), **options)

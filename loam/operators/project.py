@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.text import clean, strip
+from loam.functions.vector import similarity
 
 from .assemble import first_text
 
@@ -15,6 +16,19 @@ def field(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def seed_of(v: Column) -> Column:
+    """The work that a record belongs to: its metadata's seed title, its seed, else its title or name."""
+    return first_text(*[field(v, p) for p in ("$.metadata.seed_title", "$.meta.seed_title", "$.seed", "$.title", "$.name")])
+
+
+def title_of(v: Column) -> Column:
+    return first_text(*[field(v, p) for p in ("$.title", "$.name", "$.seed")])
+
+
+def url_of(v: Column) -> Column:
+    return first_text(*[field(v, p) for p in ("$.url", "$.source_url", "$.href")])
+
+
 def summary_of(v: Column, keys: tuple[str, ...] = ("summary", "sum", "abstract", "요약"), sections: tuple[str, ...] = ("요약", "본문", "줄거리")) -> Column:
     """The first summary of a record (VARIANT): top-level keys, then the summary or text of sections."""
     paths = [f"$['{k}']" for k in keys]
@@ -52,6 +66,15 @@ def without_nulls(meta: Column) -> Column:
     return F.map_filter(meta, lambda _, v: v.isNotNull())
 
 
+def hit_items(hits: DataFrame, space: str = "cosine") -> DataFrame:
+    """Items of an answer from hits (id, text, metadata map, distance, score): ids and texts as strings, the score from the
+    distance where there is none, and the usual metadata as columns."""
+    of = lambda k: F.element_at("metadata", F.lit(k)).alias(k)
+    score = F.coalesce("score", similarity(F.col("distance"), space))
+    names = ("page_id", "chunk_id", "url", "title", "section", "seed")
+    return hits.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), *map(of, names), score.alias("score"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def sections_present(df: DataFrame, doc: str = "doc_id") -> DataFrame:
     return df.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_set("section")), ",").alias("sections_present"))
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.text import best_fuzzy, search_key
+
 
 def ranked(df: DataFrame, *order: Column | str, by: str = "qid", name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
@@ -69,12 +71,13 @@ def mmr_order(sim: np.ndarray, vectors: np.ndarray, k: int, weight: float) -> li
     if len(sim) <= k:
         return list(range(len(sim)))
     unit = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-8)
-    chosen = [int(np.argmax(sim))]
+    chosen = [int(np.argmax(np.round(sim, 9)))]
     near = unit @ unit[chosen[0]]
     free = np.ones(len(sim), bool)
     free[chosen[0]] = False
     while len(chosen) < k:
-        worth = np.where(free, weight * sim - (1 - weight) * near, -np.inf)
+        # rounded, so that what ties but for the last digits of sums goes by place
+        worth = np.where(free, np.round(weight * sim - (1 - weight) * near, 9), -np.inf)
         i = int(np.argmax(worth))
         chosen.append(i)
         free[i] = False
@@ -112,5 +115,18 @@ def reranked(df: DataFrame, scorer, k: int, query: str = "query", text: str = "t
     return ranked(df.drop("rank"), F.col("rerank_score").desc(), *(["id"] if "id" in df.columns else []), by=by).where(F.col("rank") <= k)
 
 
+def paged(df: DataFrame, *order: Column | str, each: int = 10, by: str | None = None) -> DataFrame:
+    """df with `page` from 0 and `line` from 0 on it, `each` lines a page, within each value of `by`; without one, of all rows."""
+    n = F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy()).orderBy(*order)) - 1
+    return df.withColumn("_n", n).withColumn("page", F.floor(F.col("_n") / each).cast("int")).withColumn("line", (F.col("_n") % each).cast("int")).drop("_n")
+
+
+def title_boost(title: Column, variants: Column, normal_form: bool = True) -> Column:
+    """0 to 1: how well a title fits the best of a query's variants, both compared by their search keys; 0 without a title."""
+    keys = F.transform(F.coalesce(variants, F.array().cast("array<string>")), lambda v: search_key(v, False))
+    key = search_key(title, normal_form)
+    return F.when(F.coalesce(title, F.lit("")) == "", 0.0).otherwise(F.coalesce(best_fuzzy(key, keys), F.lit(0.0)))
+
+
 def with_title_boost(df: DataFrame, boost: Column, weight: float = 0.2) -> DataFrame:
     return df.withColumn("combo", (1 - weight) * F.coalesce("score", F.lit(0.0)) + weight * boost)

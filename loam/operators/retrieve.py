@@ -59,11 +59,10 @@ def _finish(hits: DataFrame, k: int, settings: Settings, scorer, text: str) -> D
 
 def multi_query(variants: DataFrame, vectors: DataFrame, k: int, boost=None, settings: Settings = Settings(before_mmr=160), *, title: str = "title", document: str = "doc_id", scorer=None, text: str = "text", leave_out: str | None = "qid") -> DataFrame:
     """As baseline over several variants of a query (qid, variant, qv): max(8k, 80) hits of the first, max(4k, 40) of the others."""
-    v = variants.withColumn("_v", F.col("qid") * 1000 + F.col("variant"))
-    hits = top_k(v.select(F.col("_v").alias("qid"), "qv", *([F.col(leave_out).alias("_own")] if leave_out else [])), vectors, min(max(8 * k, 80), 100), leave_out="_own" if leave_out else None).withColumnRenamed("qid", "_v")
-    hits = hits.join(v.select("_v", "qid", "variant"), "_v").where((F.col("variant") == 0) | (F.col("rank") <= max(4 * k, 40)))
+    hits = top_k(variants, vectors, min(max(8 * k, 80), 100), leave_out=leave_out, variant="variant")
+    hits = hits.where((F.col("variant") == 0) | (F.col("rank") <= max(4 * k, 40)))
     best = hits.groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
-    first = v.where("variant = 0").drop("_v", "variant")
+    first = variants.where("variant = 0").drop("variant")
     rows = best.join(vectors, "vec_id").join(first, "qid")
     rows = with_title_boost(rows, boost if boost is not None else F.lit(0.0))
     rows = ranked(rows, F.col("combo").desc(), "vec_id")

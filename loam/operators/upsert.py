@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def orderable(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns whose type has an order: maps and variants, bare or inside others, have none."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return [c for c in columns if not re.search(r"\b(map<|variant)", kinds[c])]
+
+
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of greatest `order` of each key, combined before the shuffle."""
+    """The row of greatest `order` of each key, combined before the shuffle; of equals that of greatest other columns that have an order."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max(F.struct(order, *[c for c in rest if c != order])).alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
+    by = F.struct(order, *orderable(df, [c for c in rest if c != order]))
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_b")).select(*keys, *[F.col(f"_b.`{c}`").alias(c) for c in rest])
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,11 +62,19 @@ def mark_vectorized(pages: DataFrame, vectors: DataFrame, now: Column) -> DataFr
     return out.withColumn("vectorized", done).withColumn("vector_ts", F.when(done, now))
 
 
-def embedded(rows: DataFrame, embed, text: str = "text") -> DataFrame:
-    """rows with `embedding` from embed(column); the last of rows that repeat an id counts."""
+def embedded(rows: DataFrame, embed, text: str = "text", order: str | None = None, key: str = "id") -> DataFrame:
+    """rows with `embedding` from embed(column). With `order`, of rows that repeat an id the one of greatest order counts."""
+    if order is not None:
+        rows = latest(rows, [key], order)
     return rows.withColumn("embedding", embed(F.col(text)))
 
 
+def vectors_upserted(old: DataFrame, rows: DataFrame, embed, order: str, text: str = "text", key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """A collection after rows (id, text, ...) were embedded and put in place of what had their ids, and the ids written."""
+    new = embedded(rows, embed, text, order, key).select(*old.columns)
+    return upserted(old, new, [key]), new.select(key)
+
+
 def reembedded(source: DataFrame, embed, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """A collection under another model, and one row of counts: src, moved."""
     out = embedded(source.drop("embedding"), embed, text)

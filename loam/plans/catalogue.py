@@ -11,23 +11,11 @@ from pyspark.sql import functions as F
 
 from loam.functions import chunk, html, ids, noise, text, vector
 from loam.functions.registry import embedder, scorer, summarised
-from loam.operators import assemble, knn, metrics, rank, retrieve, upsert
+from loam.operators import assemble, crawl, knn, metrics, rank, retrieve, upsert
+from loam.plans import pages, records  # noqa: F401  (register their queries)
+from loam.plans.registry import QUERIES, SQL, query
 from loam.sources.tables import length_statistics, table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict:
     return dict(QUERIES)
 
@@ -142,24 +130,77 @@ def same_doc_expand(spark, d):
     return rank.expanded(hits, per)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_hits_sql(60)},
+c AS (SELECT qid, vec_id, rank, list_inner_product(v, qv) / (sqrt(list_inner_product(v, v)) + 1e-8) / (sqrt(list_inner_product(qv, qv)) + 1e-8) AS sim, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-8)) AS unit FROM h),
+r AS (SELECT qid, 1 AS step, [arg_max(vec_id, round(sim, 9) - rank * 1e-13)] AS chosen, [arg_max(unit, round(sim, 9) - rank * 1e-13)] AS units FROM c GROUP BY qid
+UNION ALL SELECT qid, step, list_append(chosen, vec_id), list_append(units, unit) FROM (
+SELECT c.qid, r.step + 1 AS step, any_value(r.chosen) AS chosen, any_value(r.units) AS units, arg_max(c.vec_id, w - c.rank * 1e-13) AS vec_id, arg_max(c.unit, w - c.rank * 1e-13) AS unit FROM
+(SELECT c.*, r.step, r.chosen, r.units, round(0.5 * c.sim - 0.5 * list_max(list_transform(r.units, lambda u: list_inner_product(u, c.unit))), 9) AS w FROM r JOIN c ON c.qid = r.qid AND NOT list_contains(r.chosen, c.vec_id) WHERE r.step < 10) AS c JOIN r ON r.qid = c.qid GROUP BY c.qid, r.step))
+SELECT qid, unnest(chosen) AS vec_id, CAST(unnest(range(1, 11)) AS INT) AS rank FROM r WHERE step = 10""")
 def mmr_rerank(spark, d):
     hits = retrieve.candidates(_queries(spark, d), _vectors(spark, d), 60)
     return rank.mmr(hits, 10)
 
 
-@query()
+@query(f"WITH {_hits_sql(100)}, c AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY rank) AS n FROM h), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INT) AS place FROM c WHERE n <= 2) SELECT qid, vec_id, place AS rank, score FROM r WHERE place <= 5")
 def retrieve_baseline(spark, d):
+    """After two of each title at most 20 candidates are left, fewer than what the diversity step would choose among."""
     v = _vectors(spark, d).withColumn("title", F.col("label")).withColumn("doc_id", F.col("vec_id"))
     return retrieve.baseline(_queries(spark, d).select("qid", "qv"), v, 5)
 
 
-@query()
+@query(f"""WITH {_hits_sql(80)}, q1 AS (SELECT qid, ql, list_transform(qv, lambda x: CAST(CAST(x / (sqrt(list_inner_product(qv, qv)) + 1e-8) AS FLOAT) AS DOUBLE)) AS qv FROM q),
+s1 AS (SELECT qid, vec_id, ql, label, round(least(1.0, greatest(0.0, {SCORE["cosine"]})), 6) AS score FROM q1 JOIN v ON vec_id <> qid),
+h1 AS (SELECT qid, vec_id, ql, label, score FROM s1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 40),
+b AS (SELECT qid, vec_id, ql, label, max(score) AS score FROM (SELECT qid, vec_id, ql, label, score FROM h UNION ALL SELECT * FROM h1) GROUP BY ALL),
+o AS (SELECT *, (1 - CAST(0.2 AS DOUBLE)) * score + CAST(0.2 AS DOUBLE) * CASE WHEN label = ql THEN 1 ELSE 0 END AS combo FROM b),
+c AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY combo DESC, vec_id) AS n FROM o),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY combo DESC, vec_id) AS INT) AS place FROM c WHERE n <= 2)
+SELECT qid, vec_id, place AS rank, score FROM r WHERE place <= 5""")
 def retrieve_multi_query(spark, d):
+    """A query and its normalised form, candidates of both, those first whose title fits the query."""
     v = _vectors(spark, d).withColumn("title", F.col("label")).withColumn("doc_id", F.col("vec_id"))
-    q = _queries(spark, d).select("qid", "qv")
-    variants = q.select("qid", F.lit(0).alias("variant"), "qv").unionByName(q.select("qid", F.lit(1).alias("variant"), vector.normalised(F.col("qv")).alias("qv")))
-    return retrieve.multi_query(variants, v, 5)
+    q = _queries(spark, d)
+    variants = q.select("qid", F.lit(0).alias("variant"), "qv", "ql").unionByName(q.select("qid", F.lit(1).alias("variant"), vector.normalised(F.col("qv")).alias("qv"), "ql"))
+    boost = rank.title_boost(F.col("title").cast("string"), F.array(F.concat(F.lit("query "), F.col("ql").cast("string"))), False)
+    return retrieve.multi_query(variants, v, 5, boost)
+
+
+@query(f"""WITH {_hits_sql(30)}, p AS (SELECT *, score - CASE WHEN row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, rank) > 1 THEN CAST(0.6 AS DOUBLE) ELSE 0 END AS w FROM h)
+SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY w DESC, rank) AS INT) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY w DESC, rank) <= 10""")
+def title_mmr(spark, d):
+    """Diversity by title alone: a title chosen before costs 0.6."""
+    hits = _labelled(spark, d, 30).withColumn("title", F.col("label"))
+    return rank.title_mmr(hits, 10).select("qid", "vec_id", "rank")
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS backend, * FROM (WITH {_hits_sql(5, metric, 'label >= 3 AND contains(CAST(vec_id AS VARCHAR), {0})'.format(chr(39) + '1' + chr(39)))} SELECT qid, vec_id, rank, score FROM h)" for name, metric in (("collection", "cosine"), ("flat", "l2"), ("unknown", "cosine"))))
+def search_backends(spark, d):
+    """The same search by each kind of index, and by one that isn't there, under a comparison and a substring."""
+    v = knn.filtered(_vectors(spark, d).withColumn("tag", F.col("vec_id").cast("string")), None, "1", "tag")
+    out = [knn.search_in(b, _queries(spark, d), v, 5, {"label": {"$gte": 3}}).withColumn("backend", F.lit(b)) for b in ("collection", "flat", "unknown")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"""WITH {_hits_sql(50)}, raw AS (SELECT qid, max(CASE WHEN label = ql THEN 1 ELSE 0 END) AS hit FROM h GROUP BY qid),
+c AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY rank) AS n FROM h), capped AS (SELECT qid, max(CASE WHEN label = ql THEN 1 ELSE 0 END) AS hit FROM c WHERE n <= 2 GROUP BY qid)
+SELECT 'raw' AS strategy, COUNT(*) AS n, round(avg(hit), 6) AS recall FROM raw UNION ALL SELECT 'capped', COUNT(*), round(avg(hit), 6) FROM capped""")
+def recall_before_reranking(spark, d):
+    """Recall at 50 of the bare search and of what a cap by title leaves of it."""
+    hits = _labelled(spark, d, 50)
+    return metrics.recalls({"raw": hits, "capped": rank.capped(hits, "label")}, F.col("label") == F.col("ql"), 50).withColumn("recall", F.round("recall", 6))
+
+
+@query(f"""WITH {_hits_sql(30)}, p AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY rank) <= CASE label WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 0 END AS in_quota FROM h),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY in_quota DESC, rank) AS place FROM p QUALIFY place <= 8),
+a AS (SELECT qid, list(score ORDER BY place)[1:3] AS x, string_agg('[S' || place || '] t' || vec_id || ' · ' || label || chr(10) || 'text ' || vec_id, chr(10) || chr(10) ORDER BY place) AS context FROM t GROUP BY qid),
+m AS (SELECT *, list_min(x) AS lo, list_max(x) AS hi, list_sum(x) AS total FROM a), c AS (SELECT *, CASE WHEN hi - lo < 1e-6 THEN x[1] ELSE (total - 3 * lo) / ((hi - lo) * 3) END AS sure FROM m)
+SELECT qid, round(sure, 6) AS confidence, sure < 0.4 AS abstained, CASE WHEN sure >= 0.4 THEN md5(context) END AS context FROM c""")
+def ask(spark, d):
+    """From search to prompt: candidates, sections by quota, confidence, abstention, context."""
+    hits = _labelled(spark, d, 30).select("qid", "rank", "score", F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("title"), F.col("label").cast("string").alias("section"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"))
+    out = retrieve.answers(hits, retrieve.Settings(min_confidence=0.4), {"1": 2, "2": 1, "3": 3}, 8)
+    return out.select("qid", F.round("confidence", 6).alias("confidence"), "abstained", F.md5("context").alias("context"))
 
 
 @query()
@@ -204,7 +245,9 @@ def evaluation_summary(spark, d):
 
 @query("SELECT event_type, COUNT(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), metrics.nearest_rank("value", 0.5).alias("p50"), metrics.nearest_rank("value", 0.95).alias("p95"), F.round(metrics.mean_or_zero("value"), 6).alias("mean"))
+    e = table(spark, d, "events").select("event_type", "value")
+    per = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.mean_or_zero("value"), 6).alias("mean"))
+    return per.join(metrics.nearest_ranks(e, "event_type", "value", {"p50": 0.5, "p95": 0.95}), "event_type")
 
 
 @query("""WITH p AS (SELECT user_id, avg(value) FILTER (event_type = 'view') AS a, avg(value) FILTER (event_type = 'click') AS b FROM events GROUP BY user_id), w AS (SELECT round(a, 6) AS a, round(b, 6) AS b FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
@@ -215,10 +258,13 @@ def ab_winrate(spark, d):
     return metrics.win_rate(per, "a", "b", lower_is_better=True).withColumn("win_rate", F.round("win_rate", 6))
 
 
-@query()
+@query(f"""WITH {_hits_sql(10)}, p AS (SELECT qid, coalesce(1 / min(CASE WHEN label = ql THEN rank END), 0) AS rr FROM h GROUP BY qid), i AS (SELECT unnest(range(1, 2001)) AS i),
+u AS (SELECT i, rr, CAST('0x' || substr(md5(qid || ':' || i || ':42'), 1, 7) AS BIGINT) / 268435456.0 AS u FROM p CROSS JOIN i),
+w AS (SELECT i, rr, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253], lambda x: u >= x)) AS w FROM u),
+m AS (SELECT i, sum(rr * w) / sum(w) AS m FROM w GROUP BY i) SELECT round(avg(m), 6) AS mean, round(list(m ORDER BY m)[50], 6) AS low, round(list(m ORDER BY m)[1950], 6) AS high FROM m""")
 def bootstrap_ci(spark, d):
     per = metrics.hit_and_rank(_labelled(spark, d, 10), F.col("label") == F.col("ql"), 10)
-    return metrics.bootstrap(per.select(F.col("qid").alias("key"), "rr"), "rr")
+    return metrics.bootstrap(per.select(F.col("qid").alias("key"), "rr"), "rr").select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 # documents
@@ -290,8 +336,9 @@ def normalise_text(spark, d):
     return docs.select("doc_id", F.md5(text.clean_plain(F.col("text"))).alias("plain"), F.md5(text.strip_invisible(F.col("text"))).alias("visible"))
 
 
-@query()
+@query(r"""SELECT doc_id, md5(regexp_replace(lower(text), '[^\p{L}\p{M}\p{Nd}\p{Nl}]+', '', 'g')) AS key, md5(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS clean FROM documents""")
 def search_key(spark, d):
+    """The test texts have no sign that NFKC or a rule for odd blanks changes; those are left to unit tests."""
     return table(spark, d, "documents").select("doc_id", F.md5(text.search_key(F.col("text"))).alias("key"), F.md5(text.clean(F.col("text"))).alias("clean"))
 
 
@@ -366,7 +413,10 @@ def resummarise_targets(spark, d):
     return assemble.summary_targets(rows)
 
 
-@query()
+_SENTENCES = r"list_filter(string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_SENTENCES.format("substring(coalesce(text, ''), 1, 3000)")} AS s FROM documents) SELECT doc_id, CASE WHEN len(s) > 0 THEN substring(s[1], 1, 280) END AS summary, CAST(len(s[1:3]) AS INT) AS n_bullets, 'first-sentences' AS model FROM p""")
 def summaries(spark, d):
     s = summarised(F.col("text"))
     return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.summary", F.size("s.bullets").alias("n_bullets"), "s.model")
@@ -387,12 +437,12 @@ def upsert_merge(spark, d):
     return upsert.merged(old, new, ["o_orderkey"], ["o_orderstatus", "o_totalprice"]).withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
-@query("SELECT o_custkey, o_orderkey, 'v' || CAST(CASE WHEN o_custkey % 4 = 0 THEN 2 ELSE 1 END AS VARCHAR) AS version FROM orders WHERE o_custkey % 4 <> 0 OR o_orderkey % 2 = 0")
+@query("""WITH n AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_custkey % 4 = 0 AND o_orderkey % 2 = 0)
+SELECT o_custkey, o_orderkey, CASE WHEN c IS NULL THEN 'v1' ELSE 'v2' END AS version FROM orders LEFT JOIN n ON c = o_custkey WHERE c IS NULL OR o_orderkey % 2 = 0""")
 def replace_chunks(spark, d):
     old = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lit("v1").alias("version"))
     new = old.where("o_custkey % 4 = 0 AND o_orderkey % 2 = 0").withColumn("version", F.lit("v2"))
-    gone = old.where("o_custkey % 4 = 0").select("o_custkey").distinct()
-    return old.join(gone, "o_custkey", "left_anti").unionByName(new)
+    return upsert.replaced(old, new, "o_custkey")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
@@ -482,13 +532,7 @@ def crawl_depths(spark, d):
     """Links two steps from the pages whose id is divisible by 20, over the link graph of all pages; each page at its least depth."""
     pages = table(spark, d, "pages").select("page_id", "url", html.parsed(F.col("html")).alias("p"))
     edges = pages.select(F.col("url").alias("src"), F.explode("p.links").alias("l")).select("src", html.absolute(F.col("src"), F.col("l.href")).alias("dst")).distinct()
-    start = table(spark, d, "pages").where("page_id % 20 = 0").select("url").distinct().withColumn("depth", F.lit(0))
-    seen, front = start, start
-    for depth in (1, 2):
-        found = front.join(edges, front["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
-        front = found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(front)
-    return seen
+    return crawl.reached(table(spark, d, "pages").where("page_id % 20 = 0"), edges)
 
 
 @query()

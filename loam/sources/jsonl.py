@@ -3,27 +3,50 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAGE = "title string, url string, parent string, metadata struct<seed_title:string,depth:int,fetched_at:string>, chunks array<string>, content string"
 
 
-def read(spark: SparkSession, path: str | list[str], schema: str = PAGE, mode: str = "skip") -> DataFrame:
-    """Rows of JSON lines; of a folder the *.jsonl files directly in it. mode: skip bad lines, keep them in `_corrupt`, or fail."""
+#: Names of the files of a folder that are read.
+FILES = "*.{json,jsonl}"
+
+
+def read(spark: SparkSession, path: str | list[str], schema: str = PAGE, mode: str = "skip", files: str = FILES) -> DataFrame:
+    """Rows of JSON lines; of a folder the files directly in it that `files` names. mode: skip bad lines, keep them in `_corrupt`, or fail."""
     how = {"skip": "DROPMALFORMED", "keep": "PERMISSIVE", "fail": "FAILFAST"}[mode]
     fields = f"{schema}, _corrupt string" if mode == "keep" else schema
-    reader = spark.read.schema(fields).option("mode", how).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.jsonl")
+    reader = spark.read.schema(fields).option("mode", how).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", files)
     return reader.json(path)
 
 
-def read_numbered(spark: SparkSession, path: str, schema: str = PAGE) -> DataFrame:
-    """As read, with file and line number from 1. Files are read whole lines at a time; a file is one partition's."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    each = lines.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("n", "line")).where("trim(line) <> ''")
+def numbered_lines(spark: SparkSession, path: str, files: str = FILES) -> DataFrame:
+    """file, line_no from 1, and line of the lines that aren't blank; blank ones count.
+
+    Files are split as any: lines are numbered within a block, and each block's lines before it are added, of which there is
+    one number a block.
+    """
+    lines = spark.read.option("pathGlobFilter", files).text(path)
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = lines.select(*block, F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"))
+    blocks = lines.groupBy("file", "block").agg(F.min("mid").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.where("trim(line) <> ''").join(blocks, ["file", "block"]).select("file", (F.col("mid") + F.col("shift")).alias("line_no"), "line")
+
+
+def read_numbered(spark: SparkSession, path: str, schema: str = PAGE, files: str = FILES) -> DataFrame:
+    """As read, with file and line number; lines that aren't JSON give no row."""
+    each = numbered_lines(spark, path, files).where(F.try_parse_json("line").isNotNull())
     row = F.from_json("line", schema, {"mode": "PERMISSIVE"})
-    return each.where(F.try_parse_json("line").isNotNull()).select("file", (F.col("n") + 1).alias("line_no"), row.alias("r")).select("file", "line_no", "r.*")
+    return each.select("file", "line_no", row.alias("r")).select("file", "line_no", "r.*")
+
+
+def faults(spark: SparkSession, path: str, files: str = FILES) -> DataFrame:
+    """file, line_no and line of the lines that aren't JSON, as a reader would warn of."""
+    return numbered_lines(spark, path, files).where(F.try_parse_json("line").isNull())
 
 
 def read_text(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8", "utf-16", "x-windows-949", "iso-8859-1")) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, in spark.checkpoint.dir; where that is unset a local one, which only a local master may have."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return f"{root.rstrip('/')}/loam-{uuid.uuid4().hex}"
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="loam-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"{made}/data"
+
+
+def peek(df: DataFrame, n: int = 10, key: str = "id") -> DataFrame:
+    """The first n rows by id."""
+    return df.orderBy(key).limit(n)
+
+
 def by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
