@@ -309,13 +309,6 @@ def noise_line_filter(spark, d):
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(bad).alias("n_noise"))
 
 
-@query()
-def noise_lines_full(spark, d):
-    lines = assemble.text_lines(table(spark, d, "documents"), "doc_id")
-    x = F.col("line")
-    return lines.groupBy("doc_id").agg(F.count_if(noise.is_noise_line(x)).alias("strict"), F.count_if(noise.is_noise_line_old(x)).alias("old"), F.count_if(noise.is_noise_block(x)).alias("block"), F.count_if(noise.is_light_noise(x)).alias("light"), F.count_if(noise.is_game_notice(x)).alias("game"), F.count_if(noise.is_low_quality(x, F.lit(""))).alias("low"))
-
-
 @query(r"""SELECT doc_id, CAST(CASE WHEN length(text) > 0 THEN round(len(regexp_extract_all(text, '[A-Za-z]')) / length(text), 6) ELSE 1 END AS DOUBLE) AS latin_ratio,
 CAST(CASE WHEN len(regexp_extract_all(text, '\p{L}')) > 0 THEN round(len(regexp_extract_all(text, '[A-Za-z]')) / len(regexp_extract_all(text, '\p{L}')), 6) ELSE 0 END AS DOUBLE) AS latin_share,
 CAST(CASE WHEN length(text) > 0 THEN round(len(regexp_extract_all(text, 'https?://|www\.')) / (len(regexp_extract_all(text, ' ')) + 1), 6) ELSE 0 END AS DOUBLE) AS url_ratio FROM documents WHERE text IS NOT NULL""")
@@ -520,14 +513,19 @@ def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", "url", p.alias("p")).select("page_id", F.md5("p.text").alias("text_md5"), F.length("p.text").alias("n"), F.length("p.best").alias("best"), F.size("p.links").alias("n_links"), html.page_kind(F.col("url"), F.col("p.headings")).alias("kind"))
 
 
-@query()
+_LINKS = r"""e AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+') || h AS target, t AS text FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS t FROM pages))"""
+
+
+@query(f"WITH {_LINKS} SELECT DISTINCT page_id, target, trim(text) AS text FROM e")
 def child_links(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", html.parsed(F.col("html")).alias("p"))
     links = pages.select("page_id", "url", F.explode("p.links").alias("l"))
     return links.select("page_id", html.absolute(F.col("url"), F.col("l.href")).alias("target"), F.col("l.text").alias("text")).distinct()
 
 
-@query()
+@query(f"""WITH {_LINKS}, s AS (SELECT DISTINCT url FROM pages WHERE page_id % 20 = 0), a AS (SELECT DISTINCT target AS url FROM e WHERE url IN (SELECT url FROM s) AND target NOT IN (SELECT url FROM s)),
+b AS (SELECT DISTINCT target AS url FROM e WHERE url IN (SELECT url FROM a) AND target NOT IN (SELECT url FROM s UNION ALL SELECT url FROM a))
+SELECT url, 0 AS depth FROM s UNION ALL SELECT url, 1 FROM a UNION ALL SELECT url, 2 FROM b""")
 def crawl_depths(spark, d):
     """Links two steps from the pages whose id is divisible by 20, over the link graph of all pages; each page at its least depth."""
     pages = table(spark, d, "pages").select("page_id", "url", html.parsed(F.col("html")).alias("p"))

@@ -117,8 +117,8 @@ g AS (SELECT *, latin / n AS ratio, CASE WHEN letters > 0 THEN latin / letters E
   len(regexp_extract_all(x, 'https?://|www\.')) / (len(regexp_extract_all(x, ' ')) + 1) AS urls FROM g)
 SELECT doc_id, COUNT(*) FILTER (n < 2 OR share > 0.82 OR family OR game) AS strict, COUNT(*) FILTER (n < 2 OR anchored OR url OR domain OR phone) AS old, COUNT(*) FILTER (family) AS block, COUNT(*) FILTER (n < 10 OR ratio > 0.7 OR contains(lower(x), 'google')) AS light,
 COUNT(*) FILTER (game) AS game, COUNT(*) FILTER (NOT regexp_matches(x, '[0-9A-Za-z]') OR ratio > 0.8 OR urls > 0.15) AS low FROM b GROUP BY doc_id""")
-def noise_lines_latin(spark, d):
-    """All tests of noise on lines in Latin letters, on which the Korean families have no say."""
+def noise_lines_full(spark, d):
+    """All tests of noise on the lines of the test texts, which are in Latin letters: the Korean families have no say there."""
     lines = assemble.text_lines(table(spark, d, "documents"), "doc_id")
     x = F.col("line")
     tests = {"strict": noise.is_noise_line(x), "old": noise.is_noise_line_old(x), "block": noise.is_noise_block(x), "light": noise.is_light_noise(x), "game": noise.is_game_notice(x), "low": noise.is_low_quality(x, F.lit(""))}
