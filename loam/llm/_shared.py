@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -58,18 +58,20 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """At the end, what written() made within is deleted, but for tables given to the function that this yields."""
-    stay = set(_made)
-
-    def keep(df: DataFrame) -> DataFrame:
-        stay.add(getattr(df, "_loam_folder", ""))
-        return df
-
+def recorded() -> Iterator[list[str]]:
+    """A list that at the end holds the folders that written() made within and that are still there."""
+    before, made = set(_made), []
     try:
-        yield keep
+        yield made
     finally:
-        for path in [p for p in _made if p not in stay]:
+        made += [p for p in _made if p not in before]
+
+
+def discard_folders(paths: list[str], read: DataFrame | None = None) -> None:
+    """Delete folders that written() made, but for those that `read` reads from."""
+    files = read.inputFiles() if read is not None and paths else []
+    for path in paths:
+        if path in _made and not any(f"{path.rsplit('/', 1)[-1]}/" in f for f in files):
             _delete(_made.pop(path), path)
 
 

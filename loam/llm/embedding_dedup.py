@@ -128,3 +128,17 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     link; vectors of any length and repeated rows count; other columns are left; an empty table gives no rows.
     """
     return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+v AS MATERIALIZED (
+  SELECT * FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL
+  AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a, COUNT(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(c, vec_id) AS kept
+FROM e LEFT JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""

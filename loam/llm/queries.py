@@ -23,4 +23,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those queries that SQL can express."""
-    return {"op3_url_filters": url_filters.OP3_SQL, "op7_mixing": mixing.OP7_SQL, "op10_licenses": licenses.OP10_SQL}
+    return {
+        "op3_url_filters": url_filters.OP3_SQL,
+        "op5_embedding_dedup": embedding_dedup.OP5_SQL,
+        "op7_mixing": mixing.OP7_SQL,
+        "op8_suffix_dedup": suffix_dedup.OP8_SQL,
+        "op10_licenses": licenses.OP10_SQL,
+    }

@@ -428,3 +428,22 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     text = F.when(~F.col("_null"), F.col("_kept"))
     count = {"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return rest.select(*[(count | {"text": text}).get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+#: Bytes as pairs of hexadecimal digits, so that positions are those of bytes.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+j AS (SELECT doc_id, h, len(h) // 2 - 49 AS n, unnest(range(0, len(h) // 2 - 49, 256)) AS j FROM d),
+t AS (SELECT doc_id, j, least(256, n - j) AS n, substr(h, 2 * j + 1, 610) AS t FROM j),
+p AS (SELECT doc_id, j, t, unnest(range(0, n)) AS i FROM t),
+w AS (SELECT doc_id, j + i AS i, substr(t, 2 * i + 1, 100) AS s FROM p),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN m USING (s) WHERE least < doc_id),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, k),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+o AS (SELECT doc_id, COUNT(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)
+"""

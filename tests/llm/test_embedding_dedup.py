@@ -1,9 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loam.llm.embedding_dedup import embedding_links, int_product, op5_embedding_dedup, quantise
+from loam.llm.embedding_dedup import OP5_SQL, embedding_links, int_product, op5_embedding_dedup, quantise
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -81,3 +82,12 @@ def test_query_against_all_pairs(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
     assert dict(found.dtypes) == {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"}
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found.collect()} == brute(rows)
+
+
+def test_query_agrees_with_its_sql(spark, tmp_path):
+    spark.createDataFrame(made(), SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = db.sql(OP5_SQL)
+    found = op5_embedding_dedup(spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want.fetchall(), key=str)

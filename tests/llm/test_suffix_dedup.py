@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -116,3 +117,13 @@ def test_query_against_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert dict(found.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
     assert sorted(map(tuple, found.collect()), key=str) == brute([(i, i, t) for i, t in docs])
+
+
+def test_query_agrees_with_its_sql(spark, tmp_path):
+    rows = [(k * 7 % 89, t) for k, t in enumerate(made())] + [(900, None), (901, ""), (902, "\u00e9" * 24 + "xx"), (903, "\u00e9" * 24 + "xx")]
+    spark.createDataFrame([(*r, "r", 1, "h") for r in rows], "doc_id long, text string, row string, chunk int, h string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = db.sql(S.OP8_SQL)
+    found = S.op8_suffix_dedup(spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want.fetchall(), key=str)
