@@ -15,11 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_made() -> None:
+    for spark, path in _made:
+        try:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # the session has stopped
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share, in spark.checkpoint.dir; where that is unset a local one, which only a local master may have."""
+    """A new folder that all executors share, in spark.checkpoint.dir, deleted when the program ends; where that is unset a
+    local one, which only a local master may have."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return f"{root.rstrip('/')}/loam-{uuid.uuid4().hex}"
+        _made.append((spark, f"{root.rstrip('/')}/loam-{uuid.uuid4().hex}"))
+        return _made[-1][1]
     if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="loam-")
