@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -211,8 +213,54 @@ def bullets(c: Column, most: int = 5) -> Column:
     return F.slice(F.filter(lines, lambda x: x != ""), 1, most)
 
 
+def _balanced(text: str) -> str | None:
+    """The first {...} of a text whose brackets match, strings apart."""
+    begin = text.find("{")
+    depth, quoted, k = 0, False, begin
+    while 0 <= k < len(text):
+        c = text[k]
+        if quoted:
+            k += c == "\\"
+            quoted = c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            depth += 1
+        elif c in "}]":
+            depth -= 1
+            if depth == 0:
+                return text[begin : k + 1]
+        k += 1
+    return None
+
+
+def _salvaged(text: str) -> str:
+    """What can still be read of damaged JSON, as JSON: the first whole object, else the keys whose values are whole."""
+    block = _balanced(text)
+    if block:
+        try:
+            return json.dumps(json.loads(block), ensure_ascii=False)
+        except ValueError:
+            pass
+    string = r'"((?:[^"\\]|\\.)*)"'
+    out: dict = {}
+    for key, items in re.findall(r'"(\w+)"\s*:\s*\[([^\]]*)(?:\]|$)', text):
+        out.setdefault(key, re.findall(string, items))
+    for key, value in re.findall(r'"(\w+)"\s*:\s*' + string, text):
+        out.setdefault(key, value)
+    for key, value in re.findall(r'"(\w+)"\s*:\s*(-?\d+(?:\.\d+)?)', text):
+        out.setdefault(key, float(value) if "." in value else int(value))
+    return json.dumps(out, ensure_ascii=False)
+
+
+@F.pandas_udf(T.StringType())
+def salvaged(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else _salvaged(x))
+
+
 def repaired_json(c: Column, schema: str) -> Column:
-    """What a model wrote as JSON, in the schema: fences, typographic quotes, comments, trailing commas and bare keys are mended."""
+    """What a model wrote as JSON, in the schema: fences, typographic quotes, comments, trailing commas and bare keys are mended;
+    of what still isn't JSON the first whole object counts, else the keys whose values are whole."""
     t = F.regexp_replace(c, r"(?s)^.*?```(?:json)?\s*(.*?)```.*$", "$1")
     inner = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
     t = F.when(inner != "", inner).otherwise(t)
@@ -220,5 +268,10 @@ def repaired_json(c: Column, schema: str) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, r"(?s)/\*.*?\*/", ""), r"(?m)(^|[\s,{])//.*$", "$1")
     t = F.regexp_replace(t, r",(\s*[}\]])", "$1")
     t = F.regexp_replace(t, r"([{,]\s*)([A-Za-z_]\w*)(\s*:)", '$1"$2"$3')
-    first, second = F.from_json(c, schema, {"mode": "PERMISSIVE"}), F.from_json(t, schema, {"mode": "PERMISSIVE", "allowSingleQuotes": "true"})
-    return F.when(F.try_parse_json(c).isNotNull(), first).otherwise(second)
+    single = {"mode": "PERMISSIVE", "allowSingleQuotes": "true"}
+    first, second = F.from_json(c, schema, {"mode": "PERMISSIVE"}), F.from_json(t, schema, single)
+    # single quotes aren't JSON, but the reader knows them: what it makes nothing of is left to be salvaged
+    whole = lambda x: F.startswith(strip(x), F.lit("{")) & F.try_parse_json(x).isNotNull()
+    good, mended = F.coalesce(whole(c), F.lit(False)), F.coalesce(whole(t) | whole(F.translate(t, "'", '"')), F.lit(False))
+    rest = F.from_json(salvaged(F.when(~good & ~mended, t)), schema, single)
+    return F.when(good, first).when(mended, second).otherwise(rest)

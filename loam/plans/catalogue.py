@@ -335,7 +335,23 @@ def search_key(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.search_key(F.col("text"))).alias("key"), F.md5(text.clean(F.col("text"))).alias("clean"))
 
 
-@query()
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_SHORT = r"len(list_filter(ls, lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')) <= 30)) / len(ls) >= 0.6"
+
+
+def _clean_sql() -> str:
+    """clean_chunk step by step; the last pattern for headlines looks ahead, so it goes by lines here."""
+    visible = pages.visible_sql("text")
+    left = pages.visible_sql(pages.deleted_sql("t0", text.LEFTOVERS))
+    return rf"""a AS (SELECT doc_id, text, {visible} AS t0 FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+b AS (SELECT doc_id, text, {pages.deleted_sql("t1", text.FURNITURE)} AS t FROM (SELECT doc_id, text, {left} AS t1 FROM a)), c AS (SELECT *, regexp_split_to_array(t, '\r\n|\r|\n') AS ls FROM b),
+f AS (SELECT doc_id, text, CASE WHEN t <> '' AND {_SHORT} THEN '' ELSE {_STRIP.format("t")} END AS t FROM c),
+g AS (SELECT doc_id, text, array_to_string(list_transform(string_split({pages.deleted_sql("t", text.HEADLINES[:-1])}, chr(10)), lambda x: CASE WHEN length(x) BETWEEN 7 AND 400 AND NOT contains(x, '。') AND regexp_matches(x, '^.{{5,200}}?(\.\.|\.…|…\.|……)') THEN '' ELSE x END), chr(10)) AS t FROM f),
+h AS (SELECT doc_id, text, array_to_string(list_filter(regexp_split_to_array(t, '\r\n|\r|\n'), lambda x: {_STRIP.format("x")} <> '' AND NOT (length({_STRIP.format("x")}) <= 120 AND len(regexp_extract_all(x, '["“”‘’''…\[\]()【】<>]')) >= 2 AND regexp_matches(x, '[…\[\]()]'))), chr(10)) AS t FROM g)"""
+
+
+@query(rf"""WITH {_clean_sql()} SELECT doc_id, CAST(length({_STRIP.format("t")}) AS INT) AS cleaned, CAST(length(trim(regexp_replace({pages.deleted_sql("text", text.LICENSE_SPANS)}, '\s+', ' ', 'g'))) AS INT) AS unlicensed,
+CAST(length(trim(regexp_replace(regexp_replace(text, '\[\d+\]', '', 'g'), '\s+', ' ', 'g'))) AS INT) AS uncited FROM h""")
 def clean_chunks(spark, d):
     docs = table(spark, d, "documents")
     t = F.coalesce("text", F.lit(""))

@@ -125,16 +125,21 @@ def noise_lines_full(spark, d):
     return lines.groupBy("doc_id").agg(*[F.count_if(c).alias(n) for n, c in tests.items()])
 
 
-def _deleted_sql(c: str, patterns: list[str]) -> str:
+def visible_sql(c: str) -> str:
+    c = rf"regexp_replace(regexp_replace({c}, '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g'), '[ \t\x{{00A0}}]+', ' ', 'g')"
+    return rf"regexp_replace(regexp_replace({c}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def deleted_sql(c: str, patterns: list[str]) -> str:
     for p in patterns:
         c = f"regexp_replace({c}, '{p.replace(chr(39), chr(39) * 2)}', '', 'g')"
     return c
 
 
-@query(rf"""WITH v AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '[ \t\x{{00A0}}]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, text, {_deleted_sql("t", text.FURNITURE)} AS t FROM v), s AS (SELECT *, regexp_split_to_array(t, '\r\n|\r|\n') AS ls FROM w)
+@query(rf"""WITH v AS (SELECT doc_id, text, {visible_sql("text")} AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, text, {deleted_sql("t", text.FURNITURE)} AS t FROM v), s AS (SELECT *, regexp_split_to_array(t, '\r\n|\r|\n') AS ls FROM w)
 SELECT doc_id, md5(CASE WHEN t <> '' AND len(list_filter(ls, lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g')) <= 30)) / len(ls) >= 0.6 THEN '' ELSE regexp_replace(t, '^\s+|\s+$', '', 'g') END) AS furniture,
-md5(trim(regexp_replace({_deleted_sql("text", text.LICENSE_SPANS)}, '\s+', ' ', 'g'))) AS spans, md5(trim(regexp_replace(regexp_replace(text, '\[\d+\]', '', 'g'), '\s+', ' ', 'g'))) AS uncited FROM s""")
+md5(trim(regexp_replace({deleted_sql("text", text.LICENSE_SPANS)}, '\s+', ' ', 'g'))) AS spans, md5(trim(regexp_replace(regexp_replace(text, '\[\d+\]', '', 'g'), '\s+', ' ', 'g'))) AS uncited FROM s""")
 def furniture(spark, d):
     """Texts without page furniture, without spans of licences and advertisements, without citation marks."""
     rows = table(spark, d, "documents").where("text IS NOT NULL")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{made}/data"
 
 
+def retried(write: Callable[[], None], times: int = 3, pause: float = 0.8) -> None:
+    """Calls write until it succeeds, at most `times` times, waiting longer after each failure; the last one is raised."""
+    for k in range(1, times + 1):
+        try:
+            return write()
+        except Exception:
+            if k == times:
+                raise
+            time.sleep(pause * k)
+
+
+def fan_out(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, Exception | None]:
+    """Writes df to every sink, whatever becomes of the others; what each failed with, or None."""
+    out: dict[str, Exception | None] = {}
+    for name, write in sinks.items():
+        try:
+            write(df)
+            out[name] = None
+        except Exception as e:  # one sink's failure is told, and no other's business
+            out[name] = e
+    return out
+
+
 def peek(df: DataFrame, n: int = 10, key: str = "id") -> DataFrame:
     """The first n rows by id."""
     return df.orderBy(key).limit(n)

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loam.functions import html, registry
+from loam.functions import html, registry, text
 from loam.operators import assemble, metrics, upsert
 from loam.sources import jsonl, tables
 from loam.streaming import ingest
@@ -104,3 +104,30 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         tables.shared_folder(Far)
+
+
+def test_damaged_json_is_salvaged(spark):
+    bad = ['so: {"a": 1, "b": ["x", "y {"]} and {"a": 2}', '{"a": 3, "b": ["x", "y"', '"a": 4, "b": ["x", "y"], "c": "left', "{'a': 5, 'b': ['x', 'y']}", "nothing here", None]
+    rows = spark.createDataFrame([(x,) for x in bad], "t string").select(text.repaired_json(F.col("t"), "a int, b array<string>").alias("r")).collect()
+    got = [r["r"] and (r["r"]["a"], r["r"]["b"]) for r in rows]
+    assert got[0] == (1, ["x", "y {"]) and got[1:4] == [(3, ["x", "y"]), (4, ["x", "y"]), (5, ["x", "y"])] and not any(got[4] or ()) and not any(got[5] or ())
+
+
+def test_sinks_fail_by_themselves(spark):
+    seen, calls = [], []
+
+    def full(df):
+        raise OSError("full")
+
+    out = tables.fan_out(spark.range(3), {"a": full, "b": lambda df: seen.append(df.count())})
+    assert isinstance(out["a"], OSError) and out["b"] is None and seen == [3]
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+
+    tables.retried(flaky, pause=0)
+    assert len(calls) == 3
+    with pytest.raises(ZeroDivisionError):
+        tables.retried(lambda: 1 / 0, 2, 0)
