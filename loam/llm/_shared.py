@@ -125,6 +125,22 @@ def ranked(df: DataFrame, group: str, order: list[Column], name: str = "rank") -
     return joined.withColumn(name, F.col("_before") + mid - F.col("_first")).drop("_mid", "_pid", "_p", "_g", "_first", "_n", "_before")
 
 
+def running(df: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
+    """df with, for each of the columns, `_before_<column>`: its sum over the rows before in `order`, which must tell rows apart.
+
+    Rows are range-sorted and summed within ranges; only a row a range passes through one task.
+    """
+    mid, pid = F.col("_mid"), F.shiftright("_mid", 33).alias("_pid")
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    rows_ = rows.withColumn("_pid", pid)
+    ranges = rows_.groupBy("_pid").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    upto = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_pid", *[F.coalesce(F.sum(f"_s_{c}").over(upto), F.lit(0)).alias(f"_s_{c}") for c in columns])
+    within = Window.partitionBy("_pid").orderBy(mid).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_s_{c}")).alias(f"_before_{c}") for c in columns]
+    return rows_.join(ranges, "_pid").select(*df.columns, *sums)
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest node that links (a[i], b[i]) lead to."""
     label = np.arange(n)

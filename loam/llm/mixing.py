@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import boxed, ranked, table, written
+from ._shared import boxed, ranked, running, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -19,20 +19,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
     Sources by code point, null last, weigh `weights` in turn and share `share` of all sizes. A target stops at `most`
     times its source's size and the excess is shared again by weight: target = min(most * size, level * weight), where
-    level is found over the sources in order of most * size / weight. Works on one row a source.
+    level is found over the sources in order of most * size / weight. Sources, however many, are ranked and summed in
+    ranges; two sums and the level pass through the driver.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.row_number().over(named) - 1
-    per = per.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double"))
-    per = per.withColumn("_cap", (F.col("source_size") * most).cast("double")).withColumn("_r", F.col("_cap") / F.col("_w"))
-    ladder = Window.orderBy("_r", F.col("source").asc_nulls_last())
-    below = F.coalesce(F.sum("_cap").over(ladder.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("_w").over(ladder.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy()) * share
-    per = per.withColumn("_level", (total - below) / rest)
-    level = F.coalesce(F.min(F.when(F.col("_level") <= F.col("_r"), F.struct("_r", "_level"))).over(Window.partitionBy())["_level"], F.lit(float("inf")))
-    return per.withColumn("_l", level).select("source", "source_size", "n_docs", F.least("_cap", F.col("_l") * F.col("_w")).alias("target"))
+    per = running(per.withColumn("_one", F.lit(1)), [F.col("source").asc_nulls_last()], ["_one"])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_before__one") % len(weights) + 1).cast("int")).cast("double")
+    per = per.select("source", "source_size", "n_docs", weight.alias("_w"), (F.col("source_size") * most).cast("double").alias("_cap"))
+    ladder = running(per.withColumn("_r", F.col("_cap") / F.col("_w")), [F.col("_r").asc(), F.col("source").asc_nulls_last()], ["_cap", "_w"])
+    size, all_ = ladder.agg(F.sum("source_size"), F.sum("_w")).first()
+    if size is None:
+        return ladder.select("source", "source_size", "n_docs", F.col("_cap").alias("target"))
+    level = (F.lit(size * share) - F.col("_before__cap")) / (F.lit(all_) - F.col("_before__w"))
+    found = ladder.where(level <= F.col("_r")).agg(F.min(F.struct("_r", level.alias("level")))["level"]).first()[0]
+    found = float("inf") if found is None else found
+    return ladder.select("source", "source_size", "n_docs", F.least("_cap", F.lit(found) * F.col("_w")).alias("target"))
 
 
 def systematic_mix(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = (), **rules) -> DataFrame:
@@ -45,7 +46,7 @@ def systematic_mix(docs: DataFrame, seed: str = SEED, keep: tuple[str, ...] = ()
     of the target. A source without words has target 0 and no copies; null sources are a source; null and empty texts have
     size 0; texts of any length count whole; rows repeated in docs, or of equal size and id, are taken on their own in an
     order that doesn't matter to the words taken; columns named in `keep` are carried along, others left; an empty table
-    gives an empty one. Only counts a range and a source, and the sources themselves, a row each, meet in one task.
+    gives an empty one. Only counts a range and a source meet in one task.
     """
     narrow = written(docs.select("doc_id", "source", "size", *keep))
     targets = source_targets(narrow.select("source", "size"), **rules).withColumnRenamed("source", "_s")
