@@ -65,7 +65,7 @@ def nearest_rank(value: str, p: float) -> Column:
     return F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), F.lit(0.0))
 
 
-def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float], parts: int = 256) -> DataFrame:
+def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float], parts: int = 64) -> DataFrame:
     """For each group the values at place ceil(p * n) of its sorted values, one column a share p; exact, however large a group.
 
     Sketched quantiles cut a group into about `parts` ranges; their counts tell in which range each place lies, and only the
@@ -73,8 +73,13 @@ def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
     cuts = rows.groupBy(F.col("g").alias("cg")).agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.percentile_approx("v", [k / parts for k in range(1, parts)], 2 * parts)).alias("cuts"))
-    # ranges by binary search: the cuts ascend
-    placed = rows.join(cuts, F.col("g").eqNullSafe(F.col("cg"))).select("g", "v", "n", F.aggregate("cuts", F.lit(0), lambda s, c: s + (c < F.col("v")).cast("int")).alias("part"))
+    placed = rows.join(cuts, F.col("g").eqNullSafe(F.col("cg"))).select("g", "v", "n", "cuts", F.lit(0).alias("part"))
+    step = 1 << (parts.bit_length() - 1)
+    while step:  # how many of the ascending cuts are below the value, by halving
+        below = F.coalesce(F.get("cuts", F.col("part") + (step - 1)) < F.col("v"), F.lit(False))
+        placed = placed.select("g", "v", "n", "cuts", (F.col("part") + F.when(below, step).otherwise(0)).alias("part"))
+        step //= 2
+    placed = placed.drop("cuts")
     counts = placed.groupBy("g", "n", "part").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     counts = counts.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("c"))
