@@ -271,10 +271,11 @@ def removed_passages(docs: DataFrame, kept: bool = False, chunk_bytes: int = CHU
        of over `hot` occurrences are spread over buckets by further bytes; what a chunk has twice is sent once.
     3. marks go back to the chunks, which cut their texts.
     Texts of any length are compared whole, each within one task. Null texts are empty; rows of a null doc come after all
-    others and lose nothing to each other but as equal texts don't either; so do rows that repeat a doc. Ties don't
-    matter, other columns are left. An empty table gives an empty one.
+    others and lose nothing to each other, nor do rows that repeat a doc; a null row stays null. Ties don't matter, other
+    columns are left. An empty table gives an empty one.
     """
-    rows = docs.select(F.col("row").cast("long"), F.coalesce(F.col("doc").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    no_row = F.lit(-(1 << 63))
+    rows = docs.select(F.coalesce(F.col("row").cast("long"), no_row).alias("row"), F.coalesce(F.col("doc").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     narrow = written(rows.select("row", "doc", "h", F.sha2("text", 256).alias("m"), F.octet_length("text").cast("long").alias("n"), F.when(F.octet_length("text") < DEPTH, F.col("text")).alias("short")))
     least = narrow.groupBy("m").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -390,7 +391,7 @@ def removed_passages(docs: DataFrame, kept: bool = False, chunk_bytes: int = CHU
     all_gone = F.col("n") >= DEPTH
     rest = F.encode(F.coalesce("short", F.lit("")), "utf-8")
     whole = copies.select("row", F.col("n").alias("n_bytes"), F.when(all_gone, F.col("n")).otherwise(0).cast("long").alias("n_removed"), all_gone.cast("long").alias("n_spans"), F.sha2(rest, 256).alias("kept_sha256"), *[rest.alias("kept")] * kept)
-    return mine.unionByName(whole)
+    return mine.unionByName(whole).withColumn("row", F.nullif("row", no_row))
 
 
 def whole_characters(text: bytes, gone: np.ndarray) -> bytes:

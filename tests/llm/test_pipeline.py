@@ -82,3 +82,24 @@ def test_packing(steps):
 def test_run_gives_the_same(spark, steps):
     a = sorted(map(tuple, corpus_pipeline.run(spark, DIR).select("doc_id", "start", "length", "ids_crc32").collect()), key=str)
     assert a == sorted(map(tuple, steps[5].select("doc_id", "start", "length", "ids_crc32").collect()), key=str)
+
+
+@pytest.mark.parametrize("rows", [0, 60])
+def test_empty_tables_and_clashing_names(spark, tmp_path, rows):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").orderBy("doc_id").limit(rows)
+    extra = "'r' AS _row, 1 AS _doc, 'f' AS fp, 2 AS node, 3 AS row, 4 AS size, 5 AS copies, 6 AS _score, 'x' AS shard"
+    both = docs.selectExpr("*", *extra.split(", "))
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", None, 0), (7, "", "en", None, 0), (8, "word " * 100_000, None, "s", 500_000)], docs.schema).limit(4 if rows else 0)
+    both = both.unionByName(odd.selectExpr("*", *extra.split(", ")))
+    both.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DIR}/labels.parquet").limit(rows).coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    out = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = out.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, out, str(tmp_path)))
+        assert out.columns == names, name
+    got = out.collect()
+    assert all((r["_row"], r["_doc"], r["fp"], r["node"], r["row"], r["size"], r["copies"], r["_score"], r["shard"]) == ("r", 1, "f", 2, 3, 4, 5, 6, "x") for r in got)
+    packed = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path))
+    assert (packed.count() > 0) == (rows > 0) == (len(got) > 0)
+    assert (corpus_pipeline.run(spark, str(tmp_path)).count() > 0) == (rows > 0)
