@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import strip
+from loam.sources import tables
 
 
 def hit_and_rank(hits: DataFrame, relevant: Column, k: int, by: str = "qid") -> DataFrame:
@@ -69,10 +70,12 @@ def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float
     """For each group the values at place ceil(p * n) of its sorted values, one column a share p; exact, however large a group.
 
     Sketched quantiles cut a group into about `parts` ranges; their counts tell in which range each place lies, and only the
-    rows of those ranges are sorted. No task holds a group.
+    rows of those ranges are sorted. No task holds a group. A sketch hangs on the order in which its parts arrive, so the cuts,
+    which counts and sorted rows must share, are written once and read by both.
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
     cuts = rows.groupBy(F.col("g").alias("cg")).agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.percentile_approx("v", [k / parts for k in range(1, parts)], 2 * parts)).alias("cuts"))
+    cuts = tables.kept(cuts)
     placed = rows.join(cuts, F.col("g").eqNullSafe(F.col("cg"))).select("g", "v", "n", "cuts", F.lit(0).alias("part"))
     step = 1 << (parts.bit_length() - 1)
     while step:  # how many of the ascending cuts are below the value, by halving

@@ -44,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{made}/data"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written in a folder that all executors share and read again: worked out once, however often it is used."""
+    where = shared_folder(df.sparkSession)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def retried(write: Callable[[], None], times: int = 3, pause: float = 0.8) -> None:
     """Calls write until it succeeds, at most `times` times, waiting longer after each failure; the last one is raised."""
     for k in range(1, times + 1):
