@@ -78,11 +78,11 @@ def title_lists(spark, d):
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
 def encoded_texts(spark, d):
-    """Texts in UTF-16 and UTF-8 files, which the reader tells apart, line by line JSON."""
+    """Texts in UTF-16 and UTF-8 files, which the reader tells apart, line by line JSON; more texts make more files, not larger ones."""
     where = tables.shared_folder(spark)
     rows = docs(spark, d).where("text IS NOT NULL").select("doc_id", "text")
     for k, encoding in enumerate(("UTF-16", "UTF-8")):
-        rows.where(F.col("doc_id") % 2 == k).repartition(3).write.option("encoding", encoding).option("lineSep", "\n").mode("append").json(where)
+        rows.where(F.col("doc_id") % 2 == k).write.option("maxRecordsPerFile", 500).option("encoding", encoding).option("lineSep", "\n").mode("append").json(where)
     files = jsonl.read_text(spark, f"{where}/*.json")
     lines = files.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     row = F.from_json("line", "doc_id long, text string")

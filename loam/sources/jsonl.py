@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,9 +63,9 @@ def read_text(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf
                 continue
         return content.decode("utf-8", "replace")
 
-    @F.pandas_udf(T.StringType())
-    def decoded(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: one(bytes(b)))
+    @F.arrow_udf(T.StringType())
+    def decoded(s: pa.Array) -> pa.Array:
+        return pa.array([one(b.as_py()) for b in s], pa.string())
 
     return raw.select(F.col("path").alias("file"), decoded("content").alias("text"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import html, registry, text
 from loam.operators import assemble, metrics, upsert
+from loam.plans import records
 from loam.sources import jsonl, tables
 from loam.streaming import ingest
 
@@ -146,3 +147,11 @@ def test_the_cuts_of_percentiles_are_worked_out_once(spark):
     rows = spark.range(2000).selectExpr("concat('g', id % 2) AS g", "double(id) AS v").repartition(7)
     plan = metrics.nearest_ranks(rows, "g", "v", {"p50": 0.5})._jdf.queryExecution().toString()
     assert "percentile_approx" not in plan.lower()
+
+
+def test_more_encoded_texts_make_more_files(spark, tmp_path, monkeypatch):
+    where = str(tmp_path / "files")
+    monkeypatch.setattr(tables, "shared_folder", lambda _: where)
+    spark.range(5600).selectExpr("id AS doc_id", "concat('텍스트 ', id) AS text", "'ko' AS lang", "'s' AS source", "9L AS n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert records.encoded_texts(spark, str(tmp_path)).distinct().count() == 5600
+    assert max(len(p.read_bytes().decode("utf-16" if p.read_bytes()[:2] in (b"\xfe\xff", b"\xff\xfe") else "utf-8").splitlines()) for p in Path(where).glob("*.json")) <= 500
