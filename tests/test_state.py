@@ -149,6 +149,19 @@ def test_the_cuts_of_percentiles_are_worked_out_once(spark):
     assert "percentile_approx" not in plan.lower()
 
 
+def test_batches_are_limited_once(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    try:
+        for before, after in (("10000", 500), ("0", 500), ("100", 100)):
+            spark.conf.set(key, before)
+            assert tables.table(spark, str(tmp_path), "t").count() == 3
+            assert int(spark.conf.get(key)) == after and tables.ARROW_BYTES == 4 << 20
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_more_encoded_texts_make_more_files(spark, tmp_path, monkeypatch):
     where = str(tmp_path / "files")
     monkeypatch.setattr(tables, "shared_folder", lambda _: where)
