@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Queries and vectors of a block; every pair of blocks is a task.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 16384
+#: Queries and vectors of a block whose scores are worked out at a time, so that a task holds little beside its blocks.
+QUERY_SLICE, VECTOR_SLICE = 64, 2048
 
 
 def filtered(df: DataFrame, where: dict | None = None, contains: str | None = None, text: str = "text") -> DataFrame:
@@ -58,36 +60,38 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
 
     Ranked by score rounded to `digits`, then vec_id. Queries and vectors go to blocks by hash of the id, their numbers
     from the counts; a pair of blocks is one task that sends back k rows a query, so what is shuffled after the products
-    is queries * blocks * k rows. Null vectors and such with null or non-finite components are left out.
+    is queries * blocks * k rows. Floats stay floats until they are multiplied. Null vectors and such with null or non-finite components are left out.
     """
     fine = lambda c: c.isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    q = queries.where(fine(F.col("qv"))).select(F.col("qid"), F.col("qv").cast("array<double>").alias("v"), *([F.col(leave_out).alias("own")] if leave_out else []), (F.col(variant).cast("long") if variant else F.lit(0).cast("long")).alias("w"))
-    v = vectors.where(fine(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    numbers = lambda df, c: F.col(c) if df.schema[c].dataType.simpleString() == "array<float>" else F.col(c).cast("array<double>")
+    q = queries.where(fine(F.col("qv"))).select(F.col("qid"), numbers(queries, "qv").alias("v"), *([F.col(leave_out).alias("own")] if leave_out else []), (F.col(variant).cast("long") if variant else F.lit(0).cast("long")).alias("w"))
+    v = vectors.where(fine(F.col("embedding"))).select("vec_id", numbers(vectors, "embedding").alias("v"))
     n = q.agg(F.count(F.lit(1)).alias("n")).unionByName(v.agg(F.count(F.lit(1)).alias("n")))
     a, b = (max(1, -(-r["n"] // size)) for r, size in zip(n.collect(), (query_block, vector_block)))
     q = q.withColumn("i", F.pmod(F.xxhash64("qid"), F.lit(a)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     v = v.withColumn("j", F.pmod(F.xxhash64("vec_id"), F.lit(b)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
         if left.num_rows and right.num_rows:
             of = left.column("w").to_numpy()
             qid, vid = left.column("qid").to_numpy(), right.column("vec_id").to_numpy()
-            x, y = (np.stack(t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)) for t in (left, right))
+            x, y = (t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (left, right))
             own = left.column("own").to_numpy() if leave_out else None
-            for a in range(0, len(x), 256):
-                s = np.round(block_scores(x[a : a + 256], y, metric), digits)
+            for a in range(0, len(x), QUERY_SLICE):
+                some_x = x[a : a + QUERY_SLICE].astype(np.float64)
+                s = np.empty((len(some_x), len(y)))
+                for b in range(0, len(y), VECTOR_SLICE):
+                    s[:, b : b + VECTOR_SLICE] = np.round(block_scores(some_x, y[b : b + VECTOR_SLICE].astype(np.float64), metric), digits)
                 if own is not None:
-                    s[own[a : a + 256][:, None] == vid[None, :]] = -1
+                    s[own[a : a + QUERY_SLICE][:, None] == vid[None, :]] = -1
                 for i, row in enumerate(s):
                     some = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, -k)[-k])
                     best = some[np.lexsort((vid[some], -row[some]))][:k]
                     best = best[row[best] >= 0]
-                    out[0] += [qid[a + i]] * len(best)
-                    out[1] += vid[best].tolist()
-                    out[2] += row[best].tolist()
-                    out[3] += [of[a + i]] * len(best)
-        return pa.table({"qid": pa.array(out[0], pa.int64()), "w": pa.array(out[3], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                    for held, more in zip(out, (np.full(len(best), qid[a + i]), np.full(len(best), of[a + i]), vid[best], row[best])):
+                        held.append(more)
+        return pa.table(dict(zip(("qid", "w", "vec_id", "score"), map(np.concatenate, out))))
 
     found = q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInArrow(tile, "qid long, w long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("qid", "w").orderBy(F.col("score").desc(), "vec_id"))

@@ -218,3 +218,16 @@ def test_stream_is_upserted_once(spark, tmp_path):
     run()
     newest = max((tmp_path / "table").iterdir(), key=lambda p: int(p.name[1:]))
     assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(newest)).collect()) == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_a_tile_holds_few_scores_at_a_time(spark, monkeypatch):
+    # vectors of one block, of which more are queries than are worked out at a time
+    x = np.random.default_rng(5).normal(size=(300, 4)).astype(np.float32)
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    q = v.selectExpr("vec_id AS qid", "embedding AS qv")
+    got = {(r["qid"], r["rank"]): (r["vec_id"], r["score"]) for r in knn.top_k(q, v, 3).collect()}
+    s = np.round(knn.block_scores(x.astype(float), x.astype(float), "cosine"), 6)
+    np.fill_diagonal(s, -1)
+    assert got == {(i, n + 1): (j, s[i, j]) for i in range(300) for n, j in enumerate(sorted(range(300), key=lambda j: (-s[i, j], j))[:3])}
+    blocks = [p for p in knn.top_k(q, v, 3)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "array<double>" in p and "cast" in p.lower()]
+    assert not blocks and knn.QUERY_SLICE * knn.VECTOR_BLOCK * 8 <= 16 << 20
