@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .noise import is_noise_line
-from .text import clean, clean_plain, strip
+from .text import bound, clean, clean_plain, strip
 
 SENTENCE = re.compile(r"((?:[.!?…]|[다요죠네]\.)[\"'」』)]*)\s+")
 PARAGRAPH = re.compile("\n\n+")
@@ -19,9 +19,14 @@ CLAUSE = re.compile(r",|;| (?:그러나|하지만|그리고|또한) ")
 
 def windows(c: Column, size: int = 1600, overlap: int = 150) -> Column:
     """Windows of `size` signs of which neighbours share `overlap`; the last one ends with the text. Empty texts have none."""
-    n, step = F.length(c), size - overlap
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step))).cast("int"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(c, k * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    step = size - overlap
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step))).cast("int"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(t, k * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    return bound(c, cut)
 
 
 def labelled_windows(c: Column, section: Column, size: int = 1600, overlap: int = 150) -> Column:
