@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import latin_ratio, latin_share, strip, url_ratio
+from .text import bound, latin_ratio, latin_share, strip, url_ratio
 
 #: What shops write; two of them make an advertisement.
 SHOP_WORDS = sorted(
@@ -42,10 +42,21 @@ def has_korean(c: Column) -> Column:
 
 
 def shop_words(c: Column) -> Column:
-    low = F.lower(c)
-    hits = sum((F.contains(low, F.lit(w.lower())).cast("int") for w in SHOP_WORDS), F.lit(0))
+    hits = lambda low: sum((F.contains(low, F.lit(w.lower())).cast("int") for w in SHOP_WORDS), F.lit(0))
     travel = F.contains(c, F.lit("출장")) & (F.contains(c, F.lit("무료")) | F.contains(c, F.lit("0원")))
-    return (has_korean(c) | F.contains(low, F.lit("a/s"))) & ((hits >= 2) | travel)
+    return (has_korean(c) | F.contains(F.lower(c), F.lit("a/s"))) & (travel | bound(F.lower(c), lambda low: hits(low) >= 2))
+
+
+#: What a line must hold, in lower case, for a family to match: plain strings are found much faster than patterns.
+NEEDLES = {"legal": ("©", "reserved", "저작"), "captcha": ("captcha", "apply.", "zona horaria"), "url": ("http", "www."), "domain": (".",), "phone": ("0",)}
+
+
+def _may(c: Column, name: str) -> Column:
+    """Whether a family may match: what it can't do without is there."""
+    found = F.lit(name not in NEEDLES)
+    for x in NEEDLES.get(name, ()):
+        found = found | F.contains(c if x.upper() == x else F.lower(c), F.lit(x))
+    return found & c.rlike(r"(?U)\.[\w\-]") if name == "domain" else found
 
 
 def _any(c: Column, names: list[str]) -> Column:
@@ -54,30 +65,32 @@ def _any(c: Column, names: list[str]) -> Column:
         if n in KOREAN:
             korean = korean | c.rlike(FAMILIES[n])
         else:
-            out = out | c.rlike(FAMILIES[n])
+            out = out | (_may(c, n) & c.rlike(FAMILIES[n]))
     return out | (has_korean(c) & korean)
 
 
 def is_noise_line(c: Column, share: float = 0.82) -> Column:
     """Whether a line is noise; null and lines of under two signs are."""
-    t = strip(c)
-    return F.coalesce((F.length(t) < 2) | (latin_share(t) > share) | _any(t, list(FAMILIES)) | is_game_notice(t) | shop_words(t), F.lit(True))
+    judged = lambda t: (F.length(t) < 2) | (latin_share(t) > share) | _any(t, list(FAMILIES)) | is_game_notice(t) | shop_words(t)
+    return F.coalesce(bound(strip(c), judged), F.lit(True))
 
 
 def is_noise_line_old(c: Column) -> Column:
     """The older test: families only at a line's start, no share of Latin letters."""
-    t = strip(c)
-    anchored = F.lit(False)
-    for n in ("legal", "captcha", "wiki", "site", "stream", "press", "moments", "politics"):
-        hit = t.rlike("(?iU)^(?:" + FAMILIES[n].removeprefix("(?i)").removeprefix("(?U)").replace("^", "") + ")")
-        anchored = anchored | (has_korean(t) & hit if n in KOREAN else hit)
-    return F.coalesce((F.length(t) < 2) | anchored | _any(t, ["url", "domain", "phone"]) | shop_words(t), F.lit(True))
+
+    def judged(t: Column) -> Column:
+        anchored = korean = F.lit(False)
+        for n in ("legal", "captcha", "wiki", "site", "stream", "press", "moments", "politics"):
+            hit = t.rlike("(?iU)^(?:" + FAMILIES[n].removeprefix("(?i)").removeprefix("(?U)").replace("^", "") + ")")
+            anchored, korean = (anchored, korean | hit) if n in KOREAN else (anchored | hit, korean)
+        return (F.length(t) < 2) | anchored | (has_korean(t) & korean) | _any(t, ["url", "domain", "phone"]) | shop_words(t)
+
+    return F.coalesce(bound(strip(c), judged), F.lit(True))
 
 
 def is_noise_block(c: Column) -> Column:
     """Whether a stitched paragraph is noise: as for a line, but for game notices and Latin letters."""
-    t = strip(c)
-    return F.coalesce((t == "") | _any(t, list(FAMILIES)) | shop_words(t), F.lit(True))
+    return F.coalesce(bound(strip(c), lambda t: (t == "") | _any(t, list(FAMILIES)) | shop_words(t)), F.lit(True))
 
 
 def is_light_noise(c: Column) -> Column:

@@ -135,3 +135,26 @@ def test_ids(spark):
     got = one(spark, [("s", "t", 3)], "a string, b string, i int", ids.block_id(F.col("a"), F.col("i")), ids.segment_id(F.col("a"), F.col("i")), ids.vector_id(F.col("a"), F.lit("등 x"), F.col("i")))
     assert got == [("s#b0003", "s:3", "s|%EB%93%B1%20x|3")]
     assert unicodedata.normalize("NFKC", "ﬁ") == one(spark, [("ﬁ",)], "t string", text.nfkc(F.col("t")))[0][0]
+
+
+def test_guards_of_patterns_spare_no_match(spark):
+    pieces = """namu.wiki|Powered By X engine|IMPULSADO POR y|operado por z|Hecho con a|su zona horaria es Europe/B|hCaptcha b|APPLY.|a 3분 전|010-1234-5678|www.a.b|Shop.COM|견적문의|무이자할부|전국 무료출장|더 보기|Privacy Policy|TÉRMINOS terminos|Contáctenos|"quoted words".|[단독]|단독 보도|기자|日 본문|x y z many words here.. so|and the google|편집|happy new year|QnA :|reCAPTCHA|
+© a|ⓒ b|(C) c|저작권 보유|All Rights  Reserved|방영|2020.1. 2|2020년 1월 2일|Amazon Prime|HULU|YouTube|인스타그램|티빙|성우 가|감독: a|이벤트|한정판|OST|엔딩|ED 테마|♪ a|가사 b|작곡|굿즈|DVD|CD|Steam|닌텐도|HTTPS://a.b|WWW.c|이 문서의 내용 중 a|나무위키는 b|none of it|"""
+    texts = [*pieces.split("|"), pieces, "net" + "www.x.y" + "flix", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for patterns in (text.FURNITURE, text.HEADLINES, text.LEFTOVERS, text.LICENSE_SPANS):
+        plain = F.col("t")
+        for p in patterns:
+            plain = F.regexp_replace(plain, p, "")
+        for r in df.select("t", text.deleted(F.col("t"), patterns).alias("a"), plain.alias("b")).collect():
+            assert r["a"] == r["b"], r["t"]
+    lines = df.select("t", *[(noise._may(F.col("t"), n) & F.col("t").rlike(p)).alias(f"a_{n}") for n, p in noise.FAMILIES.items()], *[F.col("t").rlike(p).alias(f"b_{n}") for n, p in noise.FAMILIES.items()]).collect()
+    assert all(r[f"a_{n}"] == r[f"b_{n}"] for r in lines for n in noise.FAMILIES if r["t"] is not None)
+
+
+def test_what_lines_and_windows_are_cut_from_is_worked_out_once(spark):
+    df = spark.createDataFrame([("a b",)], "t string")
+    plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+    for test in (noise.is_noise_line, noise.is_noise_line_old, noise.is_noise_block):
+        assert plan(test(F.col("t"))).count("btrim(") <= 1
+    assert plan(chunk.labelled_windows(F.col("t"), F.lit("s"))).count("translate(") == 1
