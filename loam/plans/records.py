@@ -60,7 +60,7 @@ def jsonl_numbered(spark, d):
     where = tables.shared_folder(spark)
     k = F.col("o_orderkey")
     value = F.when(k % 3 == 1, "  ").when(k % 5 == 2, F.format_string("{bad %d", k)).otherwise(F.to_json(F.struct(k.alias("k"))))
-    table(spark, d, "orders").orderBy("o_orderkey").select(value.alias("value")).coalesce(1).write.text(where)
+    tables.write_one_text(table(spark, d, "orders").orderBy("o_orderkey").select(value.alias("value")), where)
     good = jsonl.read_numbered(spark, where, "k long", "*.txt").select("line_no", "k", F.lit(False).alias("fault"))
     bad = jsonl.faults(spark, where, "*.txt").select("line_no", F.regexp_extract("line", r"(\d+)", 1).cast("long").alias("k"), F.lit(True).alias("fault"))
     return good.unionByName(bad)

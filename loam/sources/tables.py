@@ -104,5 +104,31 @@ def length_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.agg(F.count("n").alias("n_texts"), F.min("n").alias("least"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)").alias("median"), F.avg("n").alias("mean"), F.max("n").alias("most"))
 
 
+def write_one_text(df: DataFrame, path: str, name: str = "lines.txt") -> None:
+    """One text file `name` in the folder `path`, of a sorted df of one string column: written in parts by all tasks, whose
+    bytes are then put one behind the other in the order of their names, which is the order of the partitions."""
+    spark = df.sparkSession
+    parts = shared_folder(spark)
+    df.write.text(parts)
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    fs = source.getFileSystem(conf)
+    files = sorted((f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    to = target.getFileSystem(conf)
+    to.mkdirs(target)
+    out = to.create(hadoop.fs.Path(target, name))
+    try:
+        for p in files:
+            read = fs.open(p)
+            try:
+                hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
+            finally:
+                read.close()
+    finally:
+        out.close()
+    fs.delete(source, True)
+
+
 def write_collection(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "zstd").parquet(path)

@@ -168,3 +168,20 @@ def test_more_encoded_texts_make_more_files(spark, tmp_path, monkeypatch):
     spark.range(5600).selectExpr("id AS doc_id", "concat('텍스트 ', id) AS text", "'ko' AS lang", "'s' AS source", "9L AS n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert records.encoded_texts(spark, str(tmp_path)).distinct().count() == 5600
     assert max(len(p.read_bytes().decode("utf-16" if p.read_bytes()[:2] in (b"\xfe\xff", b"\xff\xfe") else "utf-8").splitlines()) for p in Path(where).glob("*.json")) <= 500
+
+
+def test_one_sorted_file_of_many_parts(spark, tmp_path):
+    where = str(tmp_path / "one")
+    rows = spark.range(5000).repartition(7).orderBy("id").selectExpr("CASE WHEN id % 3 = 1 THEN '  ' ELSE CAST(id AS STRING) END AS value")
+    tables.write_one_text(rows, where)
+    files = list(Path(where).glob("*.txt"))
+    assert len(files) == 1 and files[0].read_text().split("\n") == [*("  " if i % 3 == 1 else str(i) for i in range(5000)), ""]
+    tables.write_one_text(spark.createDataFrame([], "value string"), str(tmp_path / "none"))
+    assert jsonl.numbered_lines(spark, str(tmp_path / "none"), "*.txt").count() == 0
+
+
+def test_numbered_orders_are_not_sorted_by_one_task(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(tables, "write_one_text", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), df.write.text(a[0])))
+    records.jsonl_numbered(spark, "/root/testdata/sf0.001")
+    assert plans and "Repartition" not in plans[0]
